@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing
+from . import bpe, chat, fingerprints, media, mixing
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
+    "op7_transport_streams": media.op7_transport_streams,
+    "op8_chat_windows": chat.op8_chat_windows,
     "op9_bpe": bpe.op9_bpe,
 }
-ORACLES = {**mixing.ORACLE}
+ORACLES = {**mixing.ORACLE, **chat.ORACLE}
