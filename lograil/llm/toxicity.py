@@ -15,7 +15,6 @@ other columns pass through the filter.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import read, small_batches
 
 #: Labelled rows that the fit may use, code points of the longest text among them, and features it may keep.
-TRAIN_ROWS, TRAIN_CHARS, FEATURES = 8_000, 200_000, 20_000
+TRAIN_ROWS, TRAIN_CHARS, FEATURES = 6_000, 200_000, 20_000
 GRADES, PREFIXES = 4, (4, 5, 6)
 #: A feature is kept if its counts in toxic and harmless texts are e^EVIDENCE times likelier at its own rate
 #: than at the common one; with some hundred thousand features, chance keeps about one.
@@ -51,7 +50,7 @@ class Model:
 
     def score(self, text: str) -> float:
         hit = features(text).intersection(self.index.keys())
-        return float(self.weights[[self.index[f] for f in hit]].sum()) if hit else 0.0
+        return float(self.weights[sorted(self.index[f] for f in hit)].sum()) if hit else 0.0
 
     def grades(self, s: np.ndarray) -> np.ndarray:
         """P(grade = k) for each score."""
@@ -112,30 +111,32 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # The sample has about TRAIN_ROWS rows of two numbers, so it can be broadcast.
     small = sample.limit(2 * TRAIN_ROWS)
     rows = texts.join(F.broadcast(small), "doc_id").select("doc_id", "text", "y").toLocalIterator()
-    by = {}
+    names: dict[str, int] = {}
+    by: dict[int, tuple[np.ndarray, int]] = {}
     for r in rows:
-        by.setdefault(r.doc_id, (features(r.text), r.y))
+        if r.doc_id not in by:
+            own = [names.setdefault(f, len(names)) for f in sorted(features(r.text))]
+            by[r.doc_id] = np.array(own, dtype=np.int32), r.y
     sets, y = [by[k][0] for k in sorted(by)], np.array([by[k][1] for k in sorted(by)], dtype=np.int64)
     toxic = (y > 0).astype(int)
     n1, n0 = int(toxic.sum()), int(len(y) - toxic.sum())
     if not n1 or not n0:
         return Model()
-    c0, c1 = Counter(), Counter()
-    for s, t in zip(sets, toxic):
-        (c1 if t else c0).update(s)
-    base, z = n1 / (n0 + n1), {}
-    for f in set(c0) | set(c1):
-        a, b = c1[f], c0[f]
-        q = a / (a + b)
-        gain = (a * np.log(q / base) if a else 0.0) + (b * np.log((1 - q) / (1 - base)) if b else 0.0)
-        if gain > EVIDENCE:
-            z[f] = gain if q > base else -gain
-    index = {f: i for i, f in enumerate(sorted(z, key=lambda f: (-abs(z[f]), f))[:FEATURES])}
-    typical = {f for f in index if z[f] > 0}
+    c1 = np.bincount(np.concatenate([x for x, t in zip(sets, toxic) if t]), minlength=len(names)).astype(float)
+    c0 = np.bincount(np.concatenate([x for x, t in zip(sets, toxic) if not t]), minlength=len(names)).astype(float)
+    base, q = n1 / (n0 + n1), c1 / np.maximum(c0 + c1, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(c1 > 0, c1 * np.log(q / base), 0) + np.where(c0 > 0, c0 * np.log((1 - q) / (1 - base)), 0)
+    kept = sorted(((f, i) for f, i in names.items() if gain[i] > EVIDENCE), key=lambda x: (-gain[x[1]], x[0]))[:FEATURES]
+    index = {f: k for k, (f, _) in enumerate(kept)}
+    place = np.full(len(names), -1, np.int64)
+    place[[i for _, i in kept]] = np.arange(len(kept))
+    typical = np.zeros(len(names), bool)
+    typical[[i for _, i in kept if q[i] > base]] = True
     if not graded:
-        y = grade_by_thirds([len(s & typical) for s in sets], toxic)
-    y = np.minimum(y, GRADES - 1)
-    weights, thresholds = fit_ordinal([np.array([index[f] for f in s if f in index], dtype=np.int64) for s in sets], y, len(index))
+        y = grade_by_thirds([int(typical[x].sum()) for x in sets], toxic)
+    y = np.clip(y, 0, GRADES - 1)
+    weights, thresholds = fit_ordinal([place[x][place[x] >= 0] for x in sets], y, len(index))
     return Model(index, weights, thresholds)
 
 
