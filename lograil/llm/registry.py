@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, jaccard, language, media, mixing, pii, toxicity
+from . import bpe, chat, fingerprints, jaccard, language, media, mixing, pii, substrings, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
