@@ -62,13 +62,18 @@ def _with_source(rows: DataFrame, small: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(small) if small.count() <= BROADCAST_SOURCES else small, "key")
 
 
-def mix_to_weights(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, size, source, source_size, target, copies, taken."""
+def _key():
+    return F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, source) -> doc_id, source, key, size; texts are read once, for all that follows."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
-    # Texts are read once; what follows needs only these columns.
-    light = checkpointed(docs.select("doc_id", "source", key.alias("key"), size.alias("size")))
+    return checkpointed(docs.select("doc_id", "source", _key().alias("key"), size.alias("size")))
 
+
+def mixing_plan(light: DataFrame) -> DataFrame:
+    """sizes() -> key, source_size, target, base, the thresholds t0 .. and what of the budget is left at the last."""
     plan = source_targets(light.groupBy("key").agg(F.sum("size").alias("source_size")))
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     cuts = plan.withColumn("base", base).withColumn("left", F.col("target") - F.col("base") * F.col("source_size"))
@@ -97,16 +102,31 @@ def mix_to_weights(docs: DataFrame) -> DataFrame:
             boundary = cuts.select("key", F.col(f"t{level}").alias("d"))
             rows = rows.join(F.broadcast(boundary) if boundary.count() <= BROADCAST_SOURCES else boundary, ["key", "d"]).drop("d")
 
-    # The last boundary bucket, about one document, goes to the nearer side.
-    extra = F.col("edge") - F.col("left") < F.col("left")
+    return cuts
+
+
+def copies() -> Column:
+    """How often a row with doc_id and its source's plan is taken."""
+    extra = F.col("edge") - F.col("left") < F.col("left")  # the last bucket, about one document, goes to the nearer side
     for level in reversed(range(LEVELS)):
         t, d = F.col(f"t{level}"), _digits(level)
         extra = t.isNull() | (d < t) | ((d == t) & F.coalesce(extra, F.lit(False)))
     none = F.col("base") * F.col("source_size") >= F.col("target")
-    copies = (F.col("base") + F.when(none, 0).otherwise(extra.cast("int"))).cast("long")
-    return _with_source(light, cuts).select(
-        "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    return (F.col("base") + F.when(none, 0).otherwise(extra.cast("int"))).cast("long")
+
+
+def mix_to_weights(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, source) -> doc_id, size, source, source_size, target, copies, taken."""
+    light = sizes(docs)
+    rows = _with_source(light, mixing_plan(light)).withColumn("copies", copies())
+    return rows.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _key().alias("key"))
+    rows = _with_source(kept, mixing_plan(sizes(docs))).withColumn("copies", copies())
+    return rows.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
