@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -40,6 +41,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of what is no longer referred to."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
     sc = df.sparkSession.sparkContext
@@ -66,17 +73,22 @@ def word_spans(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(raw: bytes) -> np.ndarray:
     """One 64-bit hash for each word of raw, in order."""
+    return hashed_words(raw)[0]
+
+
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end) of each word of raw, in order."""
     a = np.frombuffer(raw, np.uint8)
     starts, ends = word_spans(a)
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts, ends
     lens = ends - starts
     off = np.cumsum(lens) - lens
     pos = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(off, lens)
     v = _TABLE[((pos & 63) << 8) | a[~_SPACE[a]]]
     if int(lens.max()) > 64:
         v = mix(v + (pos >> 6).astype(np.uint64) * _GOLD)
-    return mix(np.add.reduceat(v, off) + lens.astype(np.uint64) * _GOLD)
+    return mix(np.add.reduceat(v, off) + lens.astype(np.uint64) * _GOLD), starts, ends
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

@@ -20,36 +20,66 @@ empty table gives no rows. Memory of a task is bounded by a shard (about SHARD_W
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, grams, mix, read, small_batches, word_hashes
+from .common import checkpointed, grams, hashed_words, mix, read, release, small_batches, word_hashes
 from .fm_index import FMIndex
 
 WINDOW, K = 20, 5
 SHARD_WORDS, HOT = 1_000_000, 20_000
 #: Numbers of removed spans up to which their table is broadcast to the documents; beyond, both are shuffled.
 BROADCAST_SPANS = 2_000_000
+#: The same for the table of places of fragments, four bytes each.
+BROADCAST_PLACES = 8_000_000
 _FIRST = -(1 << 63)
 
 
-def fragments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, windows) of each fragment of a document's word hashes."""
+@dataclass
+class Fragments:
+    """The fragments of some documents, as columns."""
+
+    raw: bytes
+    h: np.ndarray  # of all words
+    begin: np.ndarray  # first byte of each word
+    end: np.ndarray
+    doc: np.ndarray  # number of each fragment's document
+    word: np.ndarray  # its first word among all
+    start: np.ndarray  # the same within the document
+    place: np.ndarray  # its number within the document
+    windows: np.ndarray
+    anchor: np.ndarray
+
+
+def fragments(texts: list[str | None]) -> Fragments:
+    """All documents of a batch at once: windows that reach into the next document are left out."""
+    parts = [_encode(t) for t in texts]
+    raw = b"\n".join(parts)
+    h, begin, end = hashed_words(raw)
+    at = np.cumsum([0] + [len(p) + 1 for p in parts])[:-1]
+    doc_of = np.searchsorted(at, begin, side="right") - 1
     n = len(h) - WINDOW + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return Fragments(raw, h, begin, end, none, none, none, none, none, np.empty(0, np.uint64))
     g, span = grams(h, K), WINDOW - K + 1
     low, have = g, 1
     while have * 2 <= span:
         low, have = np.minimum(low[:-have], low[have:]), have * 2
     low = np.minimum(low[:n], low[span - have : span - have + n])
+    valid = doc_of[:n] == doc_of[WINDOW - 1 :]
     # A window that begins with its anchor is the last one of this anchor's place.
-    first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (g[: n - 1] == low[:-1]))))
-    size = np.diff(np.concatenate((first, [n])))
-    return low[first], first, size
+    new = np.concatenate(([True], (low[1:] != low[:-1]) | (g[: n - 1] == low[:-1]) | ~valid[:-1])) & valid
+    word = np.flatnonzero(new)
+    last = np.flatnonzero(valid & np.concatenate((new[1:] | ~valid[1:], [True])))
+    doc = doc_of[word]
+    first_word = np.searchsorted(doc_of, np.arange(len(parts)))
+    first_fragment = np.searchsorted(doc, np.arange(len(parts)))
+    return Fragments(raw, h, begin, end, doc, word, word - first_word[doc], np.arange(len(doc)) - first_fragment[doc], last - word + 1, low[word])
 
 
 def _encode(text: str | None) -> bytes:
@@ -58,13 +88,22 @@ def _encode(text: str | None) -> bytes:
 
 def _anchors(batches):
     for pdf in batches:
-        ids, anchors, place = [], [], []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            a, _, _ = fragments(word_hashes(_encode(text)))
-            ids.append(np.full(len(a), doc_id, np.int64))
-            anchors.append(a.view(np.int64))
-            place.append(np.arange(len(a), dtype=np.int32))
-        yield pd.DataFrame({"anchor": np.concatenate(anchors), "doc_id": np.concatenate(ids), "place": np.concatenate(place)})
+        f = fragments(pdf["text"].tolist())
+        yield pd.DataFrame({"anchor": f.anchor.view(np.int64), "doc_id": pdf["doc_id"].to_numpy(np.int64)[f.doc], "place": f.place.astype(np.int32)})
+
+
+#: Odd multipliers of the two halves of a fragment's number, and their inverses modulo 2^64.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def _numbers(h: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of h[a:b] for arrays a and b, from prefix sums of a polynomial."""
+    n = len(h)
+    one = np.ones(1, np.uint64)
+    power = np.cumprod(np.concatenate((one, np.full(n, base, np.uint64))), dtype=np.uint64)
+    back = np.cumprod(np.concatenate((one, np.full(n, pow(base, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:n])))
+    return mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
 
 
 def _cut(with_text: bool):
@@ -72,27 +111,21 @@ def _cut(with_text: bool):
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for doc_id, text, places, hot in zip(pdf["doc_id"], pdf["text"], pdf["places"], pdf["hot"]):
-                raw = _encode(text)
-                h = word_hashes(raw)
-                anchor, first, size = fragments(h)
-                words = raw.split() if with_text else None
-                hot = {int(x) for x in hot}
-                h2 = mix(h)
-                for p in sorted({int(x) for x in places}):
-                    if p >= len(first):
-                        continue
-                    a, m = int(first[p]), int(size[p])
-                    b = a + m + WINDOW - 1
-                    weights = mix(np.arange(1, b - a + 1, dtype=np.uint64))
-                    one, two = int((h[a:b] * weights).sum()), int((h2[a:b] * mix(weights)).sum())
-                    row = (one, two, doc_id, a, m)
-                    rows.append((*row, int(anchor[p]), p in hot, b" ".join(words[a:b]).decode("utf-8", "surrogatepass")) if with_text else row)
-            out = pd.DataFrame(rows, columns=["f1", "f2", "doc_id", "start", "windows"] + ["anchor", "hot", "words"] * with_text)
-            for c in ("f1", "f2", "anchor")[: 2 + with_text]:
-                out[c] = np.array(out[c].tolist(), dtype=np.uint64).view(np.int64)
-            yield out.astype({"doc_id": "int64", "start": "int32", "windows": "int32"})
+            f = fragments(pdf["text"].tolist())
+            wide = int(f.place.max(initial=-1)) + 1
+            here = f.doc * wide + f.place
+            of = lambda column: np.concatenate([np.empty(0, np.int64), *(i * wide + np.asarray(p, np.int64)[np.asarray(p) < wide] for i, p in enumerate(pdf[column]) if len(p))])
+            pick = np.flatnonzero(np.isin(here, of("places")))
+            a, b = f.word[pick], f.word[pick] + f.windows[pick] + WINDOW - 1
+            out = {
+                "f1": _numbers(f.h, a, b, _BASES[0]).view(np.int64), "f2": _numbers(mix(f.h), a, b, _BASES[1]).view(np.int64),
+                "doc_id": pdf["doc_id"].to_numpy(np.int64)[f.doc[pick]], "start": f.start[pick].astype(np.int32), "windows": f.windows[pick].astype(np.int32),
+            }
+            if with_text:
+                cuts = zip(f.begin[a].tolist(), f.end[b - 1].tolist())
+                words = [f.raw[x:y].decode("utf-8", "surrogatepass") for x, y in cuts]
+                out |= {"anchor": f.anchor[pick].view(np.int64), "hot": np.isin(here[pick], of("hot")), "words": pd.Series(words, dtype=object)}
+            yield pd.DataFrame(out)
 
     return run
 
@@ -105,9 +138,9 @@ def _split_hot(batches):
             if not hot:
                 rows.append((f1, f2, doc_id, start, 0, anchor, words))
                 continue
-            parts = words.split(" ")
+            parts = _encode(words).split()
             key = grams(word_hashes(_encode(words)), WINDOW).view(np.int64)
-            rows += [(f1, f2, doc_id, start, j, int(key[j]), " ".join(parts[j : j + WINDOW])) for j in range(windows)]
+            rows += [(f1, f2, doc_id, start, j, int(key[j]), b" ".join(parts[j : j + WINDOW]).decode("utf-8", "surrogatepass")) for j in range(windows)]
         yield pd.DataFrame(rows, columns=["f1", "f2", "doc_id", "start", "skip", "route", "words"]).astype({"skip": "int32"})
 
 
@@ -144,10 +177,11 @@ def search_shard(doc: np.ndarray, start: np.ndarray, texts: list[list]) -> list[
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["f1", "f2", "skip"])
     start = (pdf["start"] + pdf["skip"]).to_numpy(np.int64)
-    found = search_shard(pdf["doc_id"].to_numpy(np.int64), start, [t.split(" ") for t in pdf["words"]])
+    found = search_shard(pdf["doc_id"].to_numpy(np.int64), start, [_encode(t).split() for t in pdf["words"]])
     keep = np.array([len(x) > 0 for x in found])
     out = pdf[keep][["f1", "f2"]].copy()
-    out["offsets"] = [(x + skip).astype(np.int32) for x, skip in zip(found, pdf["skip"]) if len(x)]
+    offsets = [(x + skip).astype(np.int32) for x, skip in zip(found, pdf["skip"]) if len(x)]
+    out["offsets"] = pd.Series(offsets, index=out.index, dtype=object)
     return out
 
 
@@ -164,23 +198,26 @@ def _merge(batches):
                 else:
                     spans.append([b, b + WINDOW])
             out.append((doc_id, [x for s in spans for x in s]))
-        yield pd.DataFrame(out, columns=["doc_id", "spans"])
+        yield pd.DataFrame(out, columns=["doc_id", "spans"]).astype({"doc_id": "int64", "spans": "object"})
+
+
+def _repeated_places(docs: DataFrame) -> DataFrame:
+    """doc_id, places of fragments whose anchor occurs again, and those of them whose anchor is hot."""
+    anchors = docs.mapInPandas(_anchors, "anchor long, doc_id long, place int")
+    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = anchors.join(again, "anchor").select("doc_id", "place", (F.col("n") > HOT).alias("hot"))
+    return wanted.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs(doc_id not null, text) -> doc_id, spans array<int> (starts and ends of removed words) where there are any."""
     spark = docs.sparkSession
     small_batches(spark)
-    anchors = docs.mapInPandas(_anchors, "anchor long, doc_id long, place int")
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = anchors.join(again, "anchor").select("doc_id", "place", (F.col("n") > HOT).alias("hot"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"))
-    wanted = checkpointed(wanted)
+    wanted = checkpointed(_repeated_places(docs))
+    release(docs)
     total = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
     shards = max(1, -(-total * (WINDOW + 8) // SHARD_WORDS))
-
-    # Both branches read the same exchange of documents and places.
-    chosen = docs.join(wanted, "doc_id").select("doc_id", "text", "places", "hot")
+    chosen = docs.join(F.broadcast(wanted) if total <= BROADCAST_PLACES else wanted, "doc_id").select("doc_id", "text", "places", "hot")
     occurs = chosen.mapInPandas(_cut(False), "f1 long, f2 long, doc_id long, start int, windows int")
     cut = chosen.mapInPandas(_cut(True), "f1 long, f2 long, doc_id long, start int, windows int, anchor long, hot boolean, words string")
     distinct = cut.groupBy("f1", "f2").agg(
@@ -192,6 +229,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     routed = routed.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
     found = routed.groupBy("shard").applyInPandas(_shard, "f1 long, f2 long, offsets array<int>")
     found = checkpointed(found.groupBy("f1", "f2").agg(F.flatten(F.collect_list("offsets")).alias("offsets")))
+    release(docs)
 
     firsts = occurs.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n"))
     firsts = firsts.join(found, ["f1", "f2"], "left").where("n > 1 or offsets is not null")
