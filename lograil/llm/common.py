@@ -87,7 +87,8 @@ def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pos = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(off, lens)
     v = _TABLE[((pos & 63) << 8) | a[~_SPACE[a]]]
     if int(lens.max()) > 64:
-        v = mix(v + (pos >> 6).astype(np.uint64) * _GOLD)
+        far = np.flatnonzero(pos >= 64)  # only these, so a word's hash depends on the word alone
+        v[far] = mix(v[far] + (pos[far] >> 6).astype(np.uint64) * _GOLD)
     return mix(np.add.reduceat(v, off) + lens.astype(np.uint64) * _GOLD), starts, ends
 
 
