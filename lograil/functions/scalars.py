@@ -48,7 +48,8 @@ def parse_bytes(s: Column) -> Column:
 
 def printable(b: Column, limit: int) -> Column:
     """ASCII text with other bytes as \\x and hexadecimal digits; limit characters or more are cut and end in three dots."""
-    hexed = F.hex(b)
+    # Each byte gives a character at least, so what follows limit bytes can't be seen.
+    hexed = F.hex(F.substring(b, 1, limit))
     codes = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.conv(F.substr(hexed, i.cast("int"), F.lit(2)), 16, 10).cast("int"))
     chars = F.transform(codes, lambda c: F.when((c >= 32) & (c < 127), F.char(c)).otherwise(F.concat(F.lit("\\x"), F.lower(F.hex(c)))))
     text = F.when(F.length(hexed) == 0, "").otherwise(F.array_join(chars, ""))

@@ -698,6 +698,14 @@ def fn_printable(spark, d):
     return docs.select("doc_id", fn.printable(F.col("t").cast("binary"), 40).alias("p"))
 
 
+@query("""SELECT doc_id, CASE WHEN length(t) >= 40 THEN left(t, 37) || '...' ELSE t END AS p FROM (
+  SELECT doc_id, array_to_string(list_transform(range(1, length(h), 2), lambda i: CASE WHEN substr(h, i, 2) BETWEEN '20' AND '7E'
+    THEN chr(('0x' || substr(h, i, 2))::INTEGER) ELSE '\\x' || CASE WHEN substr(h, i, 1) = '0' THEN lower(substr(h, i + 1, 1)) ELSE lower(substr(h, i, 2)) END END), '') AS t
+  FROM (SELECT doc_id, hex(encode(left(text, 40))) AS h FROM documents))""")
+def fn_printable_all(spark, d):
+    return src.table(spark, d, "documents").select("doc_id", fn.printable(F.col("text").cast("binary"), 40).alias("p"))
+
+
 @query(sql.log("SELECT lsn, CASE WHEN expire_at = 0 THEN '-' ELSE strftime(make_timestamp(expire_at * 1000), '%Y-%m-%dT%H:%M:%S.%g') END AS t FROM log"))
 def fn_ms_time(spark, d):
     return _log(spark, d).select("lsn", fn.ms_time(F.col("expire_at_ms")).alias("t"))

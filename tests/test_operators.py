@@ -79,3 +79,15 @@ def test_every_query_runs_and_equals_its_sql(spark, sf_dir):
             at = [want.columns.index(c) for c in sorted(want.columns)]
             assert sorted(want.columns) == sorted(df.columns), name
             assert got == sorted(tuple(plain(float(r[i]) if type(r[i]).__name__ == "Decimal" else r[i]) for i in at) for r in want.fetchall()), name
+
+
+def test_printable_of_all_documents(spark, tmp_path):
+    texts = [None, "", "plain", "é中", "tab\tend", "back\\slash", "a" * 39, "a" * 40, "a" * 59 + "é", "é" * 9 + "abc", "é" * 10, "\x00\x0f\x7f~ ", "🙂" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def plain(t):
+        s = "".join(chr(b) if 32 <= b < 127 else f"\\x{b:x}" for b in t.encode())
+        return s[:37] + "..." if len(s) >= 40 else s
+
+    got = {r.doc_id: r.p for r in registry.QUERIES["fn_printable_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
