@@ -13,8 +13,8 @@ shard of its own hash, so a passage that many documents share in different surro
 Only anchors and fragment numbers are 64 and 128-bit hashes; what is compared in a shard are the words.
 
 Defined cases: null text has no words; fewer than WINDOW words have no window; a null doc_id comes before
-all others; rows with equal doc_id are the same place at the same start, so neither is earlier there; an
-empty table gives no rows. Memory of a task is bounded by a shard (about SHARD_WORDS words) or one document.
+all others; rows with equal doc_id are the same place at the same start, so neither is earlier there, and are
+told apart by a 64-bit hash of their texts (equal texts lose the same words); an empty table gives no rows. Memory of a task is bounded by a shard (about SHARD_WORDS words) or one document.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def _encode(text: str | None) -> bytes:
 def _anchors(batches):
     for pdf in batches:
         f = fragments(pdf["text"].tolist())
-        yield pd.DataFrame({"anchor": f.anchor.view(np.int64), "doc_id": pdf["doc_id"].to_numpy(np.int64)[f.doc], "place": f.place.astype(np.int32)})
+        yield pd.DataFrame({"anchor": f.anchor.view(np.int64), "doc_id": pdf["doc_id"].to_numpy(np.int64)[f.doc], "content": pdf["content"].to_numpy(np.int64)[f.doc], "place": f.place.astype(np.int32)})
 
 
 #: Odd multipliers of the two halves of a fragment's number, and their inverses modulo 2^64.
@@ -125,6 +125,8 @@ def _cut(with_text: bool):
                 cuts = zip(f.begin[a].tolist(), f.end[b - 1].tolist())
                 words = [f.raw[x:y].decode("utf-8", "surrogatepass") for x, y in cuts]
                 out |= {"anchor": f.anchor[pick].view(np.int64), "hot": np.isin(here[pick], of("hot")), "words": pd.Series(words, dtype=object)}
+            else:
+                out["content"] = pdf["content"].to_numpy(np.int64)[f.doc[pick]]
             yield pd.DataFrame(out)
 
     return run
@@ -189,7 +191,7 @@ def _merge(batches):
     """Spans of removed words of each document, from its fragments."""
     for pdf in batches:
         out = []
-        for doc_id, parts in zip(pdf["doc_id"], pdf["parts"]):
+        for doc_id, content, parts in zip(pdf["doc_id"], pdf["content"], pdf["parts"]):
             spans: list[list[int]] = []
             begins = sorted({int(p["start"]) + int(o) for p in parts for o in (range(p["windows"]) if p["offsets"] is None else p["offsets"])})
             for b in begins:
@@ -197,28 +199,28 @@ def _merge(batches):
                     spans[-1][1] = b + WINDOW
                 else:
                     spans.append([b, b + WINDOW])
-            out.append((doc_id, [x for s in spans for x in s]))
-        yield pd.DataFrame(out, columns=["doc_id", "spans"]).astype({"doc_id": "int64", "spans": "object"})
+            out.append((doc_id, content, [x for s in spans for x in s]))
+        yield pd.DataFrame(out, columns=["doc_id", "content", "spans"]).astype({"doc_id": "int64", "content": "int64", "spans": "object"})
 
 
 def _repeated_places(docs: DataFrame) -> DataFrame:
-    """doc_id, places of fragments whose anchor occurs again, and those of them whose anchor is hot."""
-    anchors = docs.mapInPandas(_anchors, "anchor long, doc_id long, place int")
+    """doc_id, content, places of fragments whose anchor occurs again, and those of them whose anchor is hot."""
+    anchors = docs.mapInPandas(_anchors, "anchor long, doc_id long, content long, place int")
     again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = anchors.join(again, "anchor").select("doc_id", "place", (F.col("n") > HOT).alias("hot"))
-    return wanted.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"))
+    wanted = anchors.join(again, "anchor").select("doc_id", "content", "place", (F.col("n") > HOT).alias("hot"))
+    return wanted.groupBy("doc_id", "content").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id not null, text) -> doc_id, spans array<int> (starts and ends of removed words) where there are any."""
+    """docs(doc_id not null, content, text) -> doc_id, content, spans array<int> (starts and ends of removed words) where there are any."""
     spark = docs.sparkSession
     small_batches(spark)
     wanted = checkpointed(_repeated_places(docs))
     release(docs)
     total = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
     shards = max(1, -(-total * (WINDOW + 8) // SHARD_WORDS))
-    chosen = docs.join(F.broadcast(wanted) if total <= BROADCAST_PLACES else wanted, "doc_id").select("doc_id", "text", "places", "hot")
-    occurs = chosen.mapInPandas(_cut(False), "f1 long, f2 long, doc_id long, start int, windows int")
+    chosen = docs.join(F.broadcast(wanted) if total <= BROADCAST_PLACES else wanted, ["doc_id", "content"]).select("doc_id", "content", "text", "places", "hot")
+    occurs = chosen.mapInPandas(_cut(False), "f1 long, f2 long, doc_id long, start int, windows int, content long")
     cut = chosen.mapInPandas(_cut(True), "f1 long, f2 long, doc_id long, start int, windows int, anchor long, hot boolean, words string")
     distinct = cut.groupBy("f1", "f2").agg(
         F.min(F.struct("doc_id", "start")).alias("at"), F.first("windows").alias("windows"), F.first("anchor").alias("anchor"),
@@ -234,11 +236,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     firsts = occurs.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n"))
     firsts = firsts.join(found, ["f1", "f2"], "left").where("n > 1 or offsets is not null")
     hits = occurs.join(firsts, ["f1", "f2"]).select(
-        "doc_id", "start", "windows",
+        "doc_id", "content", "start", "windows",
         F.when((F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.start") == F.col("start")), F.coalesce("offsets", F.array().cast("array<int>"))).alias("offsets"),
     )
-    parts = hits.where("offsets is null or size(offsets) > 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "offsets")).alias("parts"))
-    return checkpointed(parts.mapInPandas(_merge, "doc_id long, spans array<int>"))
+    parts = hits.where("offsets is null or size(offsets) > 0").groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "windows", "offsets")).alias("parts"))
+    return checkpointed(parts.mapInPandas(_merge, "doc_id long, content long, spans array<int>"))
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -247,10 +249,10 @@ OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """One row of OUT for each row of docs(doc_id, text), and the kept words with keep_text."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     spans = repeated_spans(docs)
     size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    both = docs.join(F.broadcast(spans) if size <= BROADCAST_SPANS else spans, "doc_id", "left")
+    both = docs.join(F.broadcast(spans) if size <= BROADCAST_SPANS else spans, ["doc_id", "content"], "left")
 
     def run(batches):
         for pdf in batches:

@@ -68,6 +68,28 @@ def test_hot_anchors_give_the_same(docs, monkeypatch):
     assert sorted(map(str, substrings.remove_repeats(docs).collect())) == plain
 
 
+def test_substrings_of_rows_without_a_doc_id_of_their_own(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(30)
+    lists = [(None, fresh(5) + passage), (None, fresh(90)), (None, fresh(60) + passage + fresh(9)), (None, fresh(3)), (None, []), (7, fresh(40) + passage), (7, fresh(100)), (7, fresh(25))]
+    lists += [(8, fresh(70)), (None, lists[2][1])]
+    seen = {}
+    for i, w in lists:
+        for k in range(len(w) - 19):
+            key, at = tuple(w[k : k + 20]), (-(1 << 63) if i is None else i, k)
+            seen[key] = min(seen.get(key, at), at)
+    want = []
+    for i, w in lists:
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if seen[tuple(w[k : k + 20])] < (-(1 << 63) if i is None else i, k):
+                gone[k : k + 20] = [True] * 20
+        want.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    got = substrings.remove_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in lists], "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_fm_index_counts(seed):
     rng = np.random.default_rng(seed)
