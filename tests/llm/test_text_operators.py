@@ -123,6 +123,39 @@ def test_jaccard(docs, none):
     assert jaccard.similar_groups(none).count() == 0
 
 
+def test_jaccard_looks_at_all_pairs_after_tried_proposals(spark, monkeypatch):
+    # l1-h1 and l1-h2 are just below the threshold and all that the tile proposes; l2-h1 is above it.
+    for seed in range(1000):
+        rng = random.Random(seed)
+        base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+
+        def edited(count, last=""):
+            w = list(base)
+            for k in range(count):
+                w[10 + 20 * k] = f"e{seed}_{k}"
+            return " ".join(w + [last] * bool(last))
+
+        texts = {1: edited(0), 2: edited(3, "z"), 3: edited(6, "z"), 4: edited(6, "y")}
+        sets = {i: jaccard.document_set(t) for i, t in texts.items()}
+        maps = [jaccard.bitmap(s) for s in sets.values()]
+        i, j = jaccard.tile_pairs(np.array([len(s) for s in sets.values()]), np.array([1, 1, 3, 3]), maps)
+        if min(sets, key=lambda i: jaccard.identity(sets[i])) == 1 and {(0, 2), (0, 3)} <= set(zip(i.tolist(), j.tolist())):
+            break
+    overlap = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    link = lambda a, b: bool(jaccard.linked(overlap(a, b), len(sets[a]), len(sets[b])))
+    assert link(1, 2) and link(3, 4) and link(2, 3) and not link(1, 3) and not link(1, 4)
+
+    def describe(batches):
+        from lograil.llm import jaccard
+
+        for pdf in jaccard._describe(batches):
+            yield pdf.assign(keys=[[1, 2] if i >= 3 else [1] for i in pdf["doc_id"]])
+
+    monkeypatch.setattr(jaccard, "_describe", describe)
+    got = jaccard.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_tile_bounds_lose_no_link():
     rng = np.random.default_rng(4)
     sets = []
