@@ -42,7 +42,7 @@ _DIGIT, _DIGITS = re.compile(r"[0-9]"), re.compile(r"[^0-9]+")
 # Candidates beyond the base patterns.
 _AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]?\x20?at\x20?[\])]?\x20?[A-Za-z0-9-]{1,64}\x20?[\[(]?\x20?(?:dot|\.)\x20?[\])]?\x20?[A-Za-z]{2,10}\b")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
-_SECRET = re.compile(r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?)[\"']?([A-Za-z0-9+/_-]{8,256})|\b(AKIA[0-9A-Z]{16})\b")
+_SECRET = re.compile(r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?)[\"']?([A-Za-z0-9+/_-]{8,}+)|\b(AKIA[0-9A-Z]{16})\b")
 
 # Fixed values of the gazetteers and of the words that stand before personal data, or before other numbers.
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu us".split())

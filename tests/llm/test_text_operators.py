@@ -223,6 +223,14 @@ def test_personal_data_base_equals_plain_patterns():
         assert sorted(pii.base_spans(t)[0]) == sorted((m.start(), m.end(), k) for k, p in plain.items() for m in re.finditer(p, t) if right(k, m.group()))
 
 
+def test_long_secrets_are_found_whole():
+    for n in (8, 256, 257, 5000):
+        value = "aB3_" * (n // 4) + "x" * (n % 4)
+        text = f'password="{value}" and more'
+        at = text.index(value)
+        assert (at, at + n, "secret") in pii.weak_spans(text)
+
+
 def test_mixing(docs, none):
     rows = mixing.mix_to_weights(docs).collect()
     total, by = sum(r.size for r in rows), {}
