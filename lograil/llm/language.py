@@ -7,7 +7,7 @@ single segmentation is chosen. A text's score for a language is the sum over its
 maximal runs of letters, lower-cased, with the vocabulary's mark for a word's start.
 
 Words of up to LONG letters are scored in batches of one length, once for each worker's cache; longer ones
-by the same recursion over a sliding window of logarithms. Whole texts are read; memory is bounded by the
+by the same recursion over a sliding window of logarithms. In training, longer ones are cut into parts. Whole texts are read; memory is bounded by the
 cache (CACHE words), an Arrow batch and the longest text.
 
 Defined cases: null text, or one without a letter, is `und` with score 0; so are all if nothing can be
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, small_batches
@@ -137,8 +137,12 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
     return out
 
 
+def _points(strings: list[str], m: int) -> np.ndarray:
+    return np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).reshape(len(strings), m)
+
+
 def _codes(words: list[str], m: int) -> np.ndarray:
-    return np.frombuffer("".join(_START + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), m)
+    return _points([_START + w for w in words], m)
 
 
 def forward(words: list[str], p: np.ndarray) -> np.ndarray:
@@ -178,12 +182,21 @@ def forward_long(word: str, logp: np.ndarray) -> np.ndarray:
 def fit_pieces(counts: Counter, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation over all segmentations."""
     v = pieces()
-    words = [w for w in counts if len(w) <= LONG]
-    weight = np.array([counts[w] for w in words], dtype=float)
+    # Whole words with their mark, and longer ones in parts: only pieces across a cut are missed.
+    parts: Counter = Counter()
+    for w, n in counts.items():
+        s = _START + w
+        for a in range(0, len(s), LONG + 1):
+            parts[s[a : a + LONG + 1]] += n
+    words = list(parts)
+    weight = np.array([parts[w] for w in words], dtype=float)
+    lengths: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        lengths.setdefault(len(w), []).append(i)
     size = len(v.pieces) + 2
     p = np.full(size, 1.0 / size)
     p[v.none] = 0
-    grids = [(m, own, v.lattice(_codes([words[i] for i in own], m))) for m, own in _by_length(words).items()]
+    grids = [(m, own, v.lattice(_points([words[i] for i in own], m))) for m, own in lengths.items()]
     for _ in range(rounds):
         expected = np.zeros(size)
         for m, own, grid in grids:
@@ -259,7 +272,9 @@ def train(docs: DataFrame) -> Model:
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     sample = rows.where(chosen & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text")
     counts: dict[str, Counter] = {k: Counter() for k in sorted(sizes)}
-    for r in sample.limit(2 * SAMPLE * len(sizes)).toLocalIterator():
+    # Rows that share a doc_id are chosen together, so the bound is each language's own.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text")))
+    for r in sample.withColumn("turn", turn).where(F.col("turn") <= 2 * SAMPLE).toLocalIterator():
         counts[r["lang"]].update(words_of(r["text"]))
     known = [k for k in counts if counts[k]]
     return Model(known, np.stack([fit_pieces(counts[k]) for k in known], axis=1) if known else np.zeros((len(pieces().pieces) + 2, 0)))

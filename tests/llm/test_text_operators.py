@@ -330,6 +330,15 @@ def test_language(spark, sf_dir, none):
     assert language.train(none).languages == []
 
 
+def test_language_learns_from_long_runs_and_starves_none(spark):
+    flat = language.fit_pieces(language.Counter())
+    assert not np.allclose(language.fit_pieces(language.Counter({"the" * 60: 5})), flat)
+    # Of one language, many rows share a doc_id that is chosen; the other has few rows, which must all be learned.
+    rows = [(None, f"{'la ' * 5}{'abcdefghij'[i % 10]}", "aa") for i in range(5000)] + [(None, "zebra quartz", "zz")] * 3
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1))
+    assert model.languages == ["aa", "zz"]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 
