@@ -123,8 +123,64 @@ def test_jaccard(docs, none):
     assert jaccard.similar_groups(none).count() == 0
 
 
-def test_jaccard_looks_at_all_pairs_after_tried_proposals(spark, monkeypatch):
-    # l1-h1 and l1-h2 are just below the threshold and all that the tile proposes; l2-h1 is above it.
+def brute_components(texts):
+    sets = {i: set(jaccard.document_set(t).tolist()) for i, t in texts.items()}
+    root, links = {i: i for i in sets}, 0
+    for a in root:
+        for b in root:
+            o = len(sets[a] & sets[b])
+            if a < b and o and 100 * o >= 75 * (len(sets[a]) + len(sets[b]) - o):
+                links += 1
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return root, links
+
+
+@pytest.mark.parametrize(("small", "block", "heavy"), [(12, 2000, 50_000), (0, 7, 50_000), (2, 5, 20), (12, 2000, 5), (0, 1, 50_000)])
+def test_jaccard_of_a_large_group(spark, monkeypatch, small, block, heavy):
+    # Near copies of one text at all distances round the threshold, of several lengths, and texts that share half of it.
+    rng = random.Random(8)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    base, texts = fresh(120), {}
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = fresh(1)[0]
+        texts[i] = " ".join(w + fresh(rng.choice([0, 0, 10, 30, 50])))
+    texts |= {100 + i: " ".join(base[:60] + fresh(60)) for i in range(20)} | {200 + i: " ".join(fresh(rng.randint(1, 9))) for i in range(20)}
+    monkeypatch.setattr(jaccard, "FLOOR", 2)
+    for name, value in (("SMALL", small), ("BLOCK", block), ("HEAVY", heavy)):
+        monkeypatch.setattr(jaccard, name, value)
+    want, links = brute_components(texts)
+    got = jaccard.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and links > 100 and len(set(want.values())) > 40
+
+
+def test_jaccard_recall_on_a_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in table.collect()}
+    holders, sets = {}, {i: set(jaccard.document_set(t).tolist()) for i, t in texts.items()}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, s in sets.items():
+        for b in {b for x in s for b in holders[x] if b > a}:
+            o = len(s & sets[b])
+            if 100 * o >= 75 * (len(s) + len(sets[b]) - o):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(table).collect()} == {i: find(i) for i in root}
+
+
+def test_jaccard_links_beyond_unlinked_leaders(spark):
+    # 1-3 and 1-4 are just below the threshold; 2-3 is above it, and joins what 1 alone can't.
     for seed in range(1000):
         rng = random.Random(seed)
         base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
@@ -137,26 +193,15 @@ def test_jaccard_looks_at_all_pairs_after_tried_proposals(spark, monkeypatch):
 
         texts = {1: edited(0), 2: edited(3, "z"), 3: edited(6, "z"), 4: edited(6, "y")}
         sets = {i: jaccard.document_set(t) for i, t in texts.items()}
-        maps = [jaccard.bitmap(s) for s in sets.values()]
-        i, j = jaccard.tile_pairs(np.array([len(s) for s in sets.values()]), np.array([1, 1, 3, 3]), maps)
-        if min(sets, key=lambda i: jaccard.identity(sets[i])) == 1 and {(0, 2), (0, 3)} <= set(zip(i.tolist(), j.tolist())):
+        if min(sets, key=lambda i: jaccard.identity(sets[i])) == 1:
             break
-    overlap = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
-    link = lambda a, b: bool(jaccard.linked(overlap(a, b), len(sets[a]), len(sets[b])))
+    link = lambda a, b: bool(jaccard.linked(jaccard.overlap(sets[a], sets[b]), len(sets[a]), len(sets[b])))
     assert link(1, 2) and link(3, 4) and link(2, 3) and not link(1, 3) and not link(1, 4)
-
-    def describe(batches):
-        from lograil.llm import jaccard
-
-        for pdf in jaccard._describe(batches):
-            yield pdf.assign(keys=[[1, 2] if i >= 3 else [1] for i in pdf["doc_id"]])
-
-    monkeypatch.setattr(jaccard, "_describe", describe)
     got = jaccard.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
-def test_tile_bounds_lose_no_link():
+def test_tiles_lose_no_link():
     rng = np.random.default_rng(4)
     sets = []
     for _ in range(12):
@@ -165,14 +210,19 @@ def test_tile_bounds_lose_no_link():
             keep = base[rng.random(len(base)) > rng.random() * 0.3]
             sets.append(np.unique(np.concatenate((keep, rng.integers(0, 1 << 63, rng.integers(0, 20), dtype=np.uint64)))))
     sets = [s for s in sets if len(s)]
-    n = np.array([len(s) for s in sets])
-    i, j = jaccard.tile_pairs(n, np.arange(len(sets)), [jaccard.bitmap(s) for s in sets])
-    found = {frozenset(p) for p in zip(i.tolist(), j.tolist())}
-    for a in range(len(sets)):
-        for b in range(a):
-            o = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * o >= 75 * (n[a] + n[b] - o):
-                assert frozenset((a, b)) in found
+    link = lambda a, b: bool(jaccard.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])))
+    for side in (None, np.arange(len(sets)) % 2):
+        root = np.arange(len(sets))
+        for a in range(len(sets)):
+            for b in range(a):
+                if link(a, b) and (side is None or side[a] != side[b]):
+                    root[root == root[a]] = root[b]
+        found = jaccard.tile_links(sets, np.arange(len(sets)), side)
+        got = np.arange(len(sets))
+        for a, b in found:
+            assert link(a, b)
+            got[got == got[a]] = got[b]
+        assert all((root[a] == root[b]) == (got[a] == got[b]) for a in range(len(sets)) for b in range(a))
 
 
 def test_fingerprints(docs, none):
