@@ -2,12 +2,16 @@
 
 Each shingle of five words is hashed once. The high bits of a hash choose one of BINS bins and the
 smallest hash of a bin is its value. Empty bins are filled by optimal densification: bin i probes bins
-drawn from a hash of (i, attempt) until it meets one that was filled at first. The low BITS bits of each
-bin are packed; the likeness of two fingerprints corrects the share of equal bins for chance agreement.
+drawn from a hash of (i, attempt) until it meets one that was filled at first; after ATTEMPTS probes it takes
+the filled bin b of smallest hash (i, b), which is a draw without repeats. A bin's value is hashed with the
+bin's own number, so copies of one value in several bins agree by chance independently of each other, and the
+low BITS bits of that are packed; the likeness of two fingerprints corrects the share of equal bins for
+chance agreement.
 
 Defined cases: null text is empty; a text without words has an empty fingerprint, whose likeness is 1 to
 another empty one and 0 to any other; texts with fewer than five words have one shingle. Rows with equal
-or null doc_id follow each other by (doc_id nulls first, text); each row gives one output row.
+or null doc_id follow each other by (doc_id nulls first, text); each row gives one output row, repeated ones
+too; an only row follows itself. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,23 +26,29 @@ from pyspark.sql import functions as F
 
 from .common import mix, read, shingle_set, small_batches
 
-BINS, BITS = 512, 4
-_ATTEMPTS = mix(np.arange(BINS * 64, dtype=np.uint64) + np.uint64(0x51ED270B)) % np.uint64(BINS)
-_ATTEMPTS = _ATTEMPTS.astype(np.int64).reshape(64, BINS)
-
-
-def densify(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    """Gives each empty bin the value of a filled bin, chosen by probes that depend on the bin alone."""
-    out, empty = values.copy(), np.flatnonzero(~filled)
-    attempt = 0
-    while len(empty):
-        if attempt < 64:
-            donor = _ATTEMPTS[attempt, empty]
-        else:
-            donor = (mix(empty.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(BINS)).astype(np.int64)
-        good = filled[donor]
-        out[empty[good]] = values[donor[good]]
-        empty, attempt = empty[~good], attempt + 1
+BINS, BITS, ATTEMPTS = 512, 4, 64
+#: Rows of a bucket, ids that choose the buckets' edges, and buckets, at most. A bucket is streamed, so its size is no limit of memory.
+BUCKET_ROWS, EDGE_IDS, BUCKETS = 4000, 200_000, 20_000
+_PROBES = (mix(np.arange(BINS * ATTEMPTS, dtype=np.uint64) + np.uint64(0x51ED270B)) % np.uint64(BINS)).astype(np.int64).reshape(ATTEMPTS, BINS)
+_OWN = mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def donors(filled: np.ndarray) -> np.ndarray:
+    """For each bin, itself if filled or the filled bin that it takes its value from; depends on filled alone."""
+    out = np.arange(BINS)
+    empty = np.flatnonzero(~filled)
+    for a, b in ((0, 8), (8, ATTEMPTS)):
+        if not len(empty):
+            return out
+        tried = _PROBES[a:b, empty]
+        good = filled[tried]
+        first = good.argmax(axis=0)
+        found = good[first, np.arange(len(empty))]
+        out[empty[found]] = tried[first, np.arange(len(empty))][found]
+        empty = empty[~found]
+    if len(empty):
+        have = np.flatnonzero(filled)
+        out[empty] = have[mix(_OWN[empty, None] + _OWN[None, have] * np.uint64(3)).argmin(axis=1)]
     return out
 
 
@@ -50,8 +60,8 @@ def signature(text: str) -> np.ndarray | None:
     bins = (h >> np.uint64(64 - 9)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))  # h is sorted, so firsts are minima
     values, filled = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
-    values[bins[first]], filled[bins[first]] = mix(h[first]), True
-    return (densify(values, filled) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    values[bins[first]], filled[bins[first]] = h[first], True
+    return (mix(values[donors(filled)] + _OWN) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
 def pack(sig: np.ndarray | None) -> str:
@@ -102,34 +112,37 @@ def _chain(batches):
             out = []
 
 
-def document_fingerprints(docs: DataFrame, rows_per_bucket: int = 4000) -> DataFrame:
+def document_fingerprints(docs: DataFrame, rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """One row of OUT for each row of docs(doc_id, text).
 
-    Buckets are ranges of doc_id between approximate quantiles, fixed once, so a rerun of any task sees the
-    same buckets. The first row of each bucket is copied to the end of the bucket before it (the last
+    Buckets are ranges of doc_id between some of its values, chosen once by a hash, so a rerun of any task sees
+    the same buckets. The first row of each bucket is copied to the end of the bucket before it (the last
     bucket ends with the first row of all); no window over the whole table is needed.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
+    n, known, lowest = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id")).first()
     if not n:
         return spark.createDataFrame([], OUT)
-    parts = max(1, -(-n // rows_per_bucket))
-    cuts = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    edges = np.array(sorted({int(c) for c in cuts}), dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        at = np.searchsorted(edges, ids.fillna(0).astype("int64").to_numpy(), side="right")
-        return pd.Series(np.where(known, at, 0).astype("int32"))
-
-    # Edges are values of the data, so every bucket but the lowest surely has rows.
-    dealt = docs.withColumn("bucket", bucket_of("doc_id"))
-    last, lowest = len(edges), dealt.agg(F.min("bucket")).first()[0]
-    firsts = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("f"))
-    goes_to = F.when(F.col("bucket") == lowest, last).otherwise(F.col("bucket") - 1).cast("int")
+    parts = min(BUCKETS, max(1, -(-n // rows_per_bucket)))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // EDGE_IDS))) == 0).where("doc_id is not null")
+    ids = np.sort(some.select("doc_id").distinct().toPandas()["doc_id"].to_numpy(np.int64))  # about EDGE_IDS
+    ids = ids[ids > lowest] if known == n else ids  # so the lowest bucket has rows, like all others
+    edges = ids[np.unique(np.linspace(0, len(ids), parts, endpoint=False).astype(np.int64))[1:]] if len(ids) else ids
+
+    @F.pandas_udf("bucket int, first boolean")
+    def place(doc_ids: pd.Series) -> pd.DataFrame:
+        there, v = doc_ids.notna().to_numpy(), doc_ids.fillna(0).astype("int64").to_numpy()
+        bucket = np.where(there, np.searchsorted(edges, v, side="right"), 0)
+        least = np.concatenate(([lowest or 0], edges))[bucket]
+        first = np.where(bucket == 0, ~there if known < n else v == least, v == least)
+        return pd.DataFrame({"bucket": bucket.astype("int32"), "first": first})
+
+    dealt = docs.withColumn("at", place("doc_id")).select("doc_id", "text", "at.bucket", "at.first")
+    firsts = dealt.where("first").groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("f"))
+    last = len(edges)
+    goes_to = F.when(F.col("bucket") == 0, last).otherwise(F.col("bucket") - 1).cast("int")
     copies = firsts.select("f.doc_id", "f.text", goes_to.alias("bucket"), F.lit(True).alias("copy"))
     chained = (
         dealt.select("doc_id", "text", "bucket", F.lit(False).alias("copy"))
