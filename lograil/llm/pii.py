@@ -2,16 +2,18 @@
 
 Base spans (email, ip, card, phone) are fixed patterns with a check each; those that fail it are dropped.
 The method adds spans. Wider patterns propose candidates of each kind and of `secret`; labelers vote for or
-against each one or abstain: the strict pattern, a gazetteer of fixed words and prefixes, words before
-the candidate, and its shape. Candidates with equal kind, votes and features are one pattern, so the whole
-corpus becomes a table of counted patterns, whose size depends on the labelers alone. On it,
-expectation-maximisation estimates the labelers' reliabilities and each pattern's probability; a
-logistic classifier of the features and votes is trained on these as soft labels, and the candidates it
-accepts, where they touch no base span, are added.
+against each one or abstain: the strict pattern with its check, a gazetteer of fixed words and prefixes, words
+before the candidate, and its shape. Over all documents, candidates of equal kind and votes are counted, a
+table whose size depends on the labelers alone. On it, expectation-maximisation estimates the labelers'
+reliabilities and each pattern's probability. These are the soft labels of a logistic span classifier, which sees
+the votes and the span itself: its characters' form, length, first and last characters, and the words and marks
+on both sides. It is trained on a bounded sample of candidates, about TRAIN_SPANS of each kind, chosen by a hash
+of the span and its surroundings. Candidates that it accepts, where they touch no base span, are added.
 
 All searches are linear in the text: emails are found from their @ outwards, no pattern can backtrack over
-a run more than once. Defined cases: null text is empty and has no spans; a null doc_id stays null; an
-empty table gives no rows and trains nothing (base spans only); equal rows are rows each.
+a run more than once, and none is limited in length. Defined cases: null text is empty and has no spans; a null
+doc_id stays null; an empty table gives no rows and trains nothing (base spans only); equal rows are rows each;
+extra columns are ignored by the search and kept by the masking.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches
 
+#: Candidates of each kind that the classifier is trained on, about; numbers that features are hashed to; code points of context.
+TRAIN_SPANS, FEATURES, AROUND = 4_000, 1 << 14, 24
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 
@@ -40,7 +45,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _DIGITS = re.compile(r"[0-9]"), re.compile(r"[^0-9]+")
 
 # Candidates beyond the base patterns.
-_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]?\x20?at\x20?[\])]?\x20?[A-Za-z0-9-]{1,64}\x20?[\[(]?\x20?(?:dot|\.)\x20?[\])]?\x20?[A-Za-z]{2,10}\b")
+_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]?\x20?at\x20?[\])]?\x20?[A-Za-z0-9-]++\x20?[\[(]?\x20?(?:dot|\.)\x20?[\])]?\x20?[A-Za-z]{2,10}\b")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _SECRET = re.compile(r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?)[\"']?([A-Za-z0-9+/_-]{8,}+)|\b(AKIA[0-9A-Z]{16})\b")
 
@@ -119,16 +124,16 @@ def weak_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-#: A pattern: kind, votes of the labelers in order, features. All of them are small closed sets.
+#: A pattern: kind and votes of the labelers in order, a small closed set.
 LABELERS = ("strict", "gazetteer", "context", "shape")
-_BEFORE = re.compile(r"[A-Za-z-]+")
+_BEFORE, _AFTER = re.compile(r"[A-Za-z-]+"), re.compile(r"[^\W\d_]+")
 
 
 def describe(text: str, start: int, end: int, kind: str, strict: bool) -> str:
-    """The pattern of one candidate, as kind|votes|features."""
+    """The pattern of one candidate, as kind|votes."""
     s = text[start:end]
     digits = _DIGITS.sub("", s)
-    before = [w.lower() for w in _BEFORE.findall(text[max(0, start - 24) : start])[-3:]]
+    before = [w.lower() for w in _BEFORE.findall(text[max(0, start - AROUND) : start])[-3:]]
     pattern = 1 if strict else (0 if kind == "secret" else -1)
     if kind == "email":
         gazetteer = 1 if s.rpartition(".")[2].lower() in TOP_DOMAINS else (1 if s.split()[-1].lower() in TOP_DOMAINS else -1)
@@ -147,9 +152,33 @@ def describe(text: str, start: int, end: int, kind: str, strict: bool) -> str:
         classes = sum(bool(re.search(c, s)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
         shape = 1 if classes >= 2 else -1
     near = 1 if CUES[kind].intersection(before) else (-1 if OTHER_CUES.intersection(before) else 0)
-    edge = start > 0 and text[start - 1].isalnum() or end < len(text) and text[end].isalnum()
-    size = min(3, (end - start) // 10)
-    return f"{kind}|{pattern},{gazetteer},{near},{shape}|{int(edge)},{size}"
+    return f"{kind}|{pattern},{gazetteer},{near},{shape}"
+
+
+def form(s: str) -> str:
+    """Digits as 9, letters as a or A, other characters as they are; runs of one of them once."""
+    out = []
+    for c in s:
+        c = "9" if c.isdecimal() else "A" if c.isupper() else "a" if c.isalpha() else c
+        if not out or out[-1] != c:
+            out.append(c)
+            if len(out) == 24:
+                break
+    return "".join(out)
+
+
+def span_features(text: str, start: int, end: int, pattern: str) -> list[int]:
+    """Hashed features of a candidate: its votes, its characters and what stands round it."""
+    kind, votes = pattern.split("|")
+    s, left, right = text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    before, after = _AFTER.findall(left.lower()), _AFTER.findall(right.lower())
+    found = [
+        "", *(f"{n}{v}" for n, v in zip(LABELERS, votes.split(","))), f"votes{votes}", f"form{form(s)}",
+        f"size{min(40, end - start)}", f"long{(end - start).bit_length()}", f"digits{min(20, sum(map(str.isdecimal, s)))}",
+        f"first{s[:1]}", f"head{s[:2]}", f"last{s[-3:].lower()}", f"left{left[-1:]}", f"right{right[:1]}",
+        f"glued{left[-1:].isalnum()}{right[:1].isalnum()}", *(f"before{w}" for w in before[-2:]), *(f"after{w}" for w in after[:1]),
+    ]
+    return sorted({zlib.crc32(f"{kind} {f}".encode("utf-8", "surrogatepass")) % FEATURES for f in found})
 
 
 def estimate(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], dict[str, np.ndarray]]:
@@ -181,40 +210,31 @@ def estimate(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str, floa
     return truth, reliability
 
 
-def _features(pattern: str) -> list[str]:
-    kind, votes, rest = pattern.split("|")
-    edge, size = rest.split(",")
-    return [kind, f"edge{edge}", f"{kind}size{size}", *(f"{n}{v}" for n, v in zip(LABELERS, votes.split(","))), *(f"{kind}{n}{v}" for n, v in zip(LABELERS, votes.split(",")))]
-
-
 @dataclass
 class Model:
     """The span classifier."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     reliability: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def accepts(self, pattern: str) -> bool:
-        return bool(self.weights) and sum(self.weights.get(f, 0.0) for f in _features(pattern)) >= 0
+    def accepts(self, text: str, start: int, end: int, pattern: str) -> bool:
+        return bool(len(self.weights)) and float(self.weights[span_features(text, start, end, pattern)].sum()) >= 0
 
 
-def fit(patterns: dict[str, int], steps: int = 400) -> Model:
-    if not patterns:
+def fit(patterns: dict[str, int], spans: list[tuple[str, list[int]]], steps: int = 300) -> Model:
+    """patterns: how often each occurs; spans: patterns and features of the sample."""
+    if not patterns or not spans:
         return Model()
     truth, reliability = estimate(patterns)
-    names = sorted({f for p in patterns for f in _features(p)})
-    at = {f: i for i, f in enumerate(names)}
-    order = sorted(patterns)
-    x = np.zeros((len(order), len(names)))
-    for r, p in enumerate(order):
-        x[r, [at[f] for f in _features(p)]] = 1
-    n = np.sqrt(np.array([patterns[p] for p in order], dtype=float))  # rare patterns keep a say
-    n /= n.sum()
-    y, w = np.array([truth[p] for p in order]), np.zeros(len(names))
-    for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 2.0 * (x.T @ (n * (q - y)) + 1e-4 * w)
-    return Model(dict(zip(names, w.tolist())), reliability)
+    at = np.repeat(np.arange(len(spans)), [len(f) for _, f in spans])
+    ix = np.concatenate([np.asarray(f, np.int64) for _, f in spans])
+    y, w, seen = np.array([truth[p] for p, _ in spans]), np.zeros(FEATURES), np.zeros(FEATURES)
+    for _ in range(steps):  # AdaGrad on the whole sample
+        q = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[ix], minlength=len(y)), -30, 30)))
+        g = np.bincount(ix, (q - y)[at], minlength=FEATURES) / len(y) + 1e-5 * w
+        seen += g * g
+        w -= 0.3 * g / np.sqrt(seen + 1e-10)
+    return Model(w, reliability)
 
 
 def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, str]]]:
@@ -226,10 +246,11 @@ def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
 
 
 def train(docs: DataFrame) -> Model:
-    """Counts the patterns of all documents and fits the classifier on the counts."""
+    """Counts the patterns of all documents, and fits the classifier on a sample of the candidates."""
     small_batches(docs.sparkSession)
+    docs = docs.select("text").where("text is not null")
 
-    def run(batches):
+    def count(batches):
         counts: dict[str, int] = {}
         for pdf in batches:
             for text in pdf["text"]:
@@ -237,9 +258,25 @@ def train(docs: DataFrame) -> Model:
                     counts[p] = counts.get(p, 0) + 1
         yield pd.DataFrame({"pattern": list(counts), "n": list(counts.values())}).astype({"pattern": "object", "n": "int64"})
 
-    found = docs.select("text").where("text is not null").mapInPandas(run, "pattern string, n long")
-    # At most kinds x votes x features rows: 5 x 81 x 8.
-    return fit({r.pattern: r.n for r in found.groupBy("pattern").agg(F.sum("n").alias("n")).collect()})
+    found = docs.mapInPandas(count, "pattern string, n long")
+    # At most kinds x votes rows: 5 x 81.
+    patterns = {r.pattern: r.n for r in found.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    total = {k: sum(n for p, n in patterns.items() if p.startswith(k + "|")) for k in KINDS}
+    share = {k: min(1 << 32, (TRAIN_SPANS << 32) // n) for k, n in total.items() if n}
+
+    def sample(batches):
+        for pdf in batches:
+            rows = []
+            for text in pdf["text"]:
+                for a, b, k, p in candidates(text)[1]:
+                    key = zlib.crc32(text[max(0, a - AROUND) : b + AROUND].encode("utf-8", "surrogatepass"))
+                    if key < share[k]:
+                        rows.append((key, p, span_features(text, a, b, p)))
+            yield pd.DataFrame(rows, columns=["key", "pattern", "features"]).astype({"key": "int64"})
+
+    # Equal spans in equal surroundings count once, so a third of all rows may be copies.
+    spans = docs.mapInPandas(sample, "key long, pattern string, features array<int>").distinct().orderBy("key", "pattern", "features") if share else None
+    return fit(patterns, [(r.pattern, r.features) for r in spans.limit(2 * TRAIN_SPANS * len(KINDS)).collect()] if share else [])
 
 
 def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -251,7 +288,7 @@ def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, str]], list
     taken = sorted((a, b) for a, b, _ in good)
     base = set(good)
     for a, b, k, p in sorted(found, key=key):
-        if (a, b, k) not in base and model.accepts(p) and not any(x < b and a < y for x, y in taken):
+        if (a, b, k) not in base and model.accepts(text, a, b, p) and not any(x < b and a < y for x, y in taken):
             every.append((a, b, k))
             taken.append((a, b))
     return sorted(good, key=key), sorted(every, key=key)
@@ -261,7 +298,7 @@ def digest(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:
@@ -275,7 +312,7 @@ def find_personal_data(docs: DataFrame, model: Model) -> DataFrame:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 base, every = all_spans(text, model)
                 kinds = [k for *_, k in base]
-                rows.append((doc_id, *map(kinds.count, BASE), hashlib.sha256(digest(base).encode()).hexdigest(), digest(every)))
+                rows.append((doc_id, *map(kinds.count, BASE), hashlib.sha256(digest(base).encode()).hexdigest(), digest(every), len(every)))
             out = pd.DataFrame(rows, columns=names)
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
