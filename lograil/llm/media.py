@@ -1,15 +1,16 @@
 """MPEG transport streams: writing, and reading with program tables, continuity and access points.
 
 A payload is cut into access units of UNIT bytes. Each becomes one PES packet of a private-data stream
-with PTS and DTS; every GROUP-th unit is a random-access point. Transport packets have 188 bytes; program
-association and map tables come first and before every random-access point. Work is vectorised over the
+with PTS and DTS; every GROUP-th unit is a random-access point and carries the program clock. Transport packets
+have 188 bytes; program association and map tables come first and before every random-access point. Work is vectorised over the
 packets of one document and holds about four times its bytes.
 
-The reader takes any transport stream with one program: it checks sync bytes, the tables' CRC-32, the
-continuity counters (repeated packets are dropped, jumps are counted), strips adaptation fields and stuffing,
+The reader takes any transport stream with one program: it checks sync bytes, puts tables together from any
+number of packets and checks their CRC-32, the continuity counters (repeated packets are dropped, jumps are counted), strips adaptation fields and stuffing,
 reassembles PES packets and returns their timestamps with the flags of random access.
 
-Defined cases: null text is empty; every payload is padded with zero bytes to a positive multiple of 64.
+Defined cases: null text is empty; every payload is padded with zero bytes to a positive multiple of 64; a null
+doc_id is kept; equal rows are rows each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ PACKET, SYNC = 188, 0x47
 PMT_PID, MEDIA_PID, PROGRAM, STREAM_TYPE = 0x1000, 0x0100, 1, 0x06
 #: Bytes of an access unit, units between random-access points, and ticks of 90 kHz between units.
 UNIT, GROUP, TICKS = 16_384, 8, 3_600
+#: The adaptation field of a random-access packet: length, flags and a program clock of six bytes.
+CLOCK = 8
 
 
 def _crc_table() -> list[int]:
@@ -81,9 +84,15 @@ def _pes(unit: bytes, number: int) -> bytes:
     return head + b"\x84\xc0\x0a" + _stamp(3, pts) + _stamp(1, dts) + unit
 
 
-def _packets(pes: bytes, random_access: bool) -> np.ndarray:
+def _clock(t: int) -> bytes:
+    """A program clock reference of t ticks of 90 kHz: 33 bits, 6 reserved ones and an extension of 0."""
+    return ((t & ((1 << 33) - 1)) << 15 | 0x3F << 9).to_bytes(6, "big")
+
+
+def _packets(pes: bytes, random_access: bool, clock: int = 0) -> np.ndarray:
     """The transport packets of one PES packet, without continuity counters."""
-    first = 182 if random_access else 184
+    have = CLOCK if random_access else 0
+    first = 184 - have
     n = 1 + max(0, -(-(len(pes) - first) // 184))
     room = first + 184 * (n - 1)
     out = np.full((n, PACKET), 0xFF, np.uint8)
@@ -91,15 +100,15 @@ def _packets(pes: bytes, random_access: bool) -> np.ndarray:
     out[0, 1] |= 0x40
     data = np.frombuffer(pes, np.uint8)
     if random_access:
-        out[0, 3:6] = 0x30, 1, 0x40
+        out[0, 3:6] = 0x30, CLOCK - 1, 0x50
+        out[0, 6:12] = np.frombuffer(_clock(clock), np.uint8)
     spare = room - len(pes)
     if spare:  # stuffing goes into an adaptation field of the last packet
-        have = 2 if random_access and n == 1 else 0
-        total = have + spare
+        total = spare + (have if n == 1 else 0)
         out[-1, 3] = 0x30
         out[-1, 4] = total - 1
         if total > 1:
-            out[-1, 5] = 0x40 if have else 0
+            out[-1, 5] = 0x50 if have and n == 1 else 0
         out[-1, 4 + total :] = data[len(data) - (184 - total) :]
         if n > 1:
             out[0, PACKET - first :] = data[:first]
@@ -123,7 +132,7 @@ def write_ts(payload: bytes, unit: int = UNIT, group: int = GROUP) -> bytes:
                 p[0, 3] |= tables & 15
                 parts.append(p)
             tables += 1
-        parts.append(_packets(_pes(payload[at : at + unit], k), k % group == 0))
+        parts.append(_packets(_pes(payload[at : at + unit], k), k % group == 0, k * TICKS))
     out = np.concatenate(parts)
     media = np.flatnonzero((out[:, 1] & 0x1F) == MEDIA_PID >> 8)
     out[media, 3] |= (np.arange(len(media)) & 15).astype(np.uint8)
@@ -139,19 +148,27 @@ class Stream:
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
     units: list[tuple[int | None, int | None, bool, int]] = field(default_factory=list)
+    clocks: list[int] = field(default_factory=list)
     discontinuities: int = 0
     repeated: int = 0
     bad_tables: int = 0
 
 
 def _sections(rows: np.ndarray, start: np.ndarray) -> list[bytes]:
-    """Sections that fit their first packet; null packets and fragments are left out."""
-    out = []
+    """Whole sections of one table's packets; a section goes on through packets until its length is reached."""
+    out, held = [], b""
     for row, at in zip(rows, start):
-        if row[1] & 0x40 and at < PACKET:
-            b = row[at:].tobytes()
-            b = b[1 + b[0] :]
-            out.append(b[: 3 + (((b[1] & 0x0F) << 8) | b[2])] if len(b) > 3 else b"")
+        b = row[at:].tobytes()
+        parts = [b]
+        if row[1] & 0x40 and b:
+            parts = [b[1 : 1 + b[0]], b[1 + b[0] :]]  # the end of the section before, and a new one
+        for k, part in enumerate(parts):
+            held = part if k else held + part if held else b""
+            while len(held) > 3 and held[0] != 0xFF and len(held) >= (size := 3 + ((held[1] & 0x0F) << 8 | held[2])):
+                out.append(held[:size])
+                held = held[size:]
+            if held[:1] == b"\xff":
+                held = b""
     return out
 
 
@@ -218,6 +235,8 @@ def read_ts(data: bytes) -> Stream:
                 continue
             row = rows[own[b]]
             access = bool(row[3] & 0x20 and row[4] and row[5] & 0x40)
+            if row[3] & 0x20 and row[4] >= 7 and row[5] & 0x10:
+                s.clocks.append(int.from_bytes(row[6:12].tobytes(), "big") >> 15)
             flags, unit = pes[7] >> 6, pes[9 + pes[8] :]
             pts = _time(pes[9:14]) if flags & 2 else None
             s.units.append((pts, _time(pes[14:19]) if flags == 3 else pts, access, offset))
