@@ -1,10 +1,12 @@
 """Chat formatting in budgeted windows, with built-in functions only.
 
 Turns of a conversation are ordered by (turn, role, text). Prefix sums of their tokens (words and OVERHEAD
-for the marks) choose the windows: a turn belongs to window floor(tokens before it / STRIDE), windows
-without turns are left out, so windows are aligned to turns and hold each turn once as a target. A window
-also repeats the first system turn and, of the window before it, the last whole turns that fit into HISTORY
-tokens. Its own turns take STRIDE tokens and the rest of the last turn at most.
+for the marks) choose the windows. A window has BUDGET tokens; the conversation's first system turn, which
+every window holds, and HISTORY are set aside, and the rest is the room of its own turns. The prefix sum is cut
+at multiples of the room: turns that lie between two cuts make a window, and a turn that crosses a cut is a
+window of its own. So windows are aligned to turns, hold each turn once as a target, and keep the budget
+unless one own turn and the system turn exceed it together. A window repeats, of the window before it, the
+last whole turns that fit into HISTORY and into what its own turns leave of the budget.
 
 Template: `<|turn|>role\\ntext<|end|>`, with `<|again|>` for repeated turns. Inside roles and texts `\\` becomes
 `\\b`, `<` becomes `\\l`, `[` becomes `\\s` (and a line break in a role `\\c`), so no control string of this or of
@@ -13,7 +15,7 @@ text of every assistant turn in its own window and nothing of a repeated one.
 
 Defined cases: null text and null role are empty; null conv_id is a conversation of its own; equal rows are
 turns each; an empty table gives no rows; further columns are ignored. A conversation is one value of the
-result (its digest), so one task holds its text.
+result (its digest), so one task holds its text, very long turns included.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, read
 
-STRIDE, HISTORY, OVERHEAD = 128, 64, 4
+BUDGET, HISTORY, OVERHEAD = 256, 64, 4
 TURN, AGAIN, END = "<|turn|>", "<|again|>", "<|end|>"
 _ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("[", "\\s"))
 _ROLE_ESCAPES = (*_ESCAPES, ("\n", "\\c"))
@@ -54,14 +56,17 @@ def format_windows(turns: DataFrame) -> DataFrame:
         "ord": F.row_number().over(in_order),
         "before": F.sum("tokens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"),
     })
-    t = t.withColumn("window", F.dense_rank().over(conv.orderBy(F.floor(F.col("before") / STRIDE))))
-    t = t.withColumns({
-        "windows": F.max("window").over(conv),
-        "window_end": F.max(F.col("before") + F.col("tokens")).over(Window.partitionBy("conv_id", "window")),
-        "system": F.min(F.when(F.col("role") == "system", F.col("ord"))).over(conv),
-    })
-    kept = F.col("ord").eqNullSafe(F.col("system"))
-    recent = (F.col("window_end") - F.col("before") <= HISTORY) & (F.col("window") < F.col("windows"))
+    t = t.withColumn("system", F.min(F.when(F.col("role") == "system", F.struct("ord", "tokens"))).over(conv))
+    t = t.withColumn("reserved", F.coalesce("system.tokens", F.lit(0)))
+    room = F.greatest(F.lit(1), F.lit(BUDGET - HISTORY) - F.col("reserved"))
+    first, last = F.floor(F.col("before") / room), F.floor((F.col("before") + F.col("tokens") - 1) / room)
+    t = t.withColumn("window", F.dense_rank().over(conv.orderBy(2 * first + (first != last).cast("int"))))
+    one = Window.partitionBy("conv_id", "window")
+    t = t.withColumns({"windows": F.max("window").over(conv), "window_end": F.max(F.col("before") + F.col("tokens")).over(one), "taken": F.sum("tokens").over(one)})
+    t = t.withColumn("next_taken", F.max("taken").over(conv.orderBy("window").rangeBetween(1, 1)))
+    limit = F.least(F.lit(HISTORY), F.lit(BUDGET) - F.col("reserved") - F.col("next_taken"))
+    kept = F.col("ord").eqNullSafe(F.col("system.ord"))
+    recent = (F.col("window_end") - F.col("before") <= limit) & (F.col("window") < F.col("windows"))
     others = F.filter(F.sequence(F.lit(1), F.col("windows")), lambda w: w != F.col("window"))
     places = F.when(kept, others).when(recent, F.array(F.col("window") + 1)).otherwise(F.array().cast("array<int>"))
     t = t.withColumn("at", F.explode(F.concat(F.array("window"), places))).withColumn("own", F.col("at") == F.col("window"))
@@ -130,20 +135,24 @@ ORACLE = {
         UNION ALL VALUES ({PROBE[0]}, 0, 'user', '{PROBE[1]}'), ({PROBE[0]}, 1, 'assistant', '{PROBE[1]}'))),
 a AS (SELECT *, row_number() OVER o AS ord, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) - tokens AS before
       FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-b AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY floor(before / {STRIDE})) AS w FROM a),
-c AS (SELECT *, max(w) OVER (PARTITION BY conv_id) AS windows,
-        max(before + tokens) OVER (PARTITION BY conv_id, w) AS window_end,
-        min(CASE WHEN role = 'system' THEN ord END) OVER (PARTITION BY conv_id) AS system,
+b AS (SELECT *, min(CASE WHEN role = 'system' THEN ord END) OVER (PARTITION BY conv_id) AS system FROM a),
+c AS (SELECT *, coalesce(max(CASE WHEN ord = system THEN tokens END) OVER (PARTITION BY conv_id), 0) AS reserved FROM b),
+d AS (SELECT *, floor(before / greatest(1, {BUDGET - HISTORY} - reserved)) AS lo,
+        floor((before + tokens - 1) / greatest(1, {BUDGET - HISTORY} - reserved)) AS hi FROM c),
+e AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY 2 * lo + (lo <> hi)::INT) AS w FROM d),
+f AS (SELECT *, max(w) OVER (PARTITION BY conv_id) AS windows,
+        max(before + tokens) OVER (PARTITION BY conv_id, w) AS window_end, sum(tokens) OVER (PARTITION BY conv_id, w) AS taken,
         length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '[', ''))
         + length(role) + length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '[', ''), chr(10), ''))
         + 1 + {len(END)} AS seg
-      FROM b),
-d AS (SELECT *, CASE WHEN ord IS NOT DISTINCT FROM system THEN windows - 1
-                     WHEN window_end - before <= {HISTORY} AND w < windows THEN 1 ELSE 0 END AS again FROM c)
+      FROM e),
+g AS (SELECT *, max(taken) OVER (PARTITION BY conv_id ORDER BY w RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS next_taken FROM f),
+h AS (SELECT *, CASE WHEN ord IS NOT DISTINCT FROM system THEN windows - 1
+                     WHEN window_end - before <= least({HISTORY}, {BUDGET} - reserved - next_taken) AND w < windows THEN 1 ELSE 0 END AS again FROM g)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY ord) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(seg + {len(TURN)} + again * (seg + {len(AGAIN)}))::BIGINT AS formatted_chars
-FROM d GROUP BY conv_id"""
+FROM h GROUP BY conv_id"""
 }
