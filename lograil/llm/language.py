@@ -1,18 +1,20 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 The pieces are those of a fixed public vocabulary. Each language has its own piece probabilities, fitted by
-expectation-maximisation on a bounded sample of labelled training documents (SAMPLE a language). The
+expectation-maximisation on a bounded sample of labelled training documents (SAMPLE a language, whole texts,
+whose words executors count). The
 forward algorithm gives the probability of a word as the sum over all its segmentations into pieces, so no
 single segmentation is chosen. A text's score for a language is the sum over its words; words are the
 maximal runs of letters, lower-cased, with the vocabulary's mark for a word's start.
 
 Words of up to LONG letters are scored in batches of one length, once for each worker's cache; longer ones
-by the same recursion over a sliding window of logarithms. In training, longer ones are cut into parts. Whole texts are read; memory is bounded by the
-cache (CACHE words), an Arrow batch and the longest text.
+by the same recursion over a sliding window of logarithms. In training, longer ones are cut into parts. Whole
+texts are read; memory is bounded by the cache (CACHE words), an Arrow batch and the longest text.
 
 Defined cases: null text, or one without a letter, is `und` with score 0; so are all if nothing can be
 learned; null lang trains nothing; a null doc_id counts as the empty string in the choice of held-out rows;
-ties go to the language that comes first by code point.
+ties go to the language that comes first by code point; equal rows, and rows of one doc_id, are rows each; an
+empty table gives no rows; extra columns, by whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import read, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Training documents a language, code points of the longest of them, rounds of EM and added counts.
-SAMPLE, SAMPLE_CHARS, ROUNDS, PRIOR = 400, 100_000, 3, 0.05
+#: Training documents a language, rounds of EM and added counts.
+SAMPLE, ROUNDS, PRIOR = 400, 3, 0.05
 LONG, CACHE, TRUST = 40, 400_000, 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
@@ -188,7 +190,7 @@ def fit_pieces(counts: Counter, rounds: int = ROUNDS) -> np.ndarray:
         s = _START + w
         for a in range(0, len(s), LONG + 1):
             parts[s[a : a + LONG + 1]] += n
-    words = list(parts)
+    words = sorted(parts)
     weight = np.array([parts[w] for w in words], dtype=float)
     lengths: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -270,12 +272,19 @@ def train(docs: DataFrame) -> Model:
         return Model([], np.zeros((len(pieces().pieces) + 2, 0)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.5 * SAMPLE / n))])
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    sample = rows.where(chosen & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text")
+    sample = rows.where(chosen).select("lang", "text")
     counts: dict[str, Counter] = {k: Counter() for k in sorted(sizes)}
     # Rows that share a doc_id are chosen together, so the bound is each language's own.
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text")))
-    for r in sample.withColumn("turn", turn).where(F.col("turn") <= 2 * SAMPLE).toLocalIterator():
-        counts[r["lang"]].update(words_of(r["text"]))
+
+    def count(batches):
+        for pdf in batches:
+            found = Counter((lang, w) for lang, text in zip(pdf["lang"], pdf["text"]) for w in words_of(text))
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"]).astype({"n": "int64"})
+
+    words = sample.withColumn("turn", turn).where(F.col("turn") <= 2 * SAMPLE).select("lang", "text").mapInPandas(count, "lang string, word string, n long")
+    for r in words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["lang"]][r["word"]] = r["n"]
     known = [k for k in counts if counts[k]]
     return Model(known, np.stack([fit_pieces(counts[k]) for k in known], axis=1) if known else np.zeros((len(pieces().pieces) + 2, 0)))
 
