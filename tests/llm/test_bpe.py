@@ -52,3 +52,19 @@ def test_rows(spark, library):
         assert by[doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert by[doc_id].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parts_meet_after_a_shuffle(spark, library):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 900))) for _ in range(25)]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[1]), (0, texts[0]), (99, None)]
+    got = encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), keep_ids=True, part=37).collect()
+    want = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
+    assert sorted(map(str, ((r.doc_id, list(r.ids)) for r in got))) == sorted(map(str, want))
+
+
+def test_a_long_unsplit_text(spark, library):
+    text = "".join(random.Random(4).choices("etaoinshrdlu", k=5_000_000))
+    got = encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert [(r.n_tokens, r.ids_sha256) for r in got] == [(len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())]
