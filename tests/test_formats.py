@@ -103,7 +103,9 @@ def test_frames_and_commands():
 
 
 def test_text_protocol(spark):
-    lines = ["set a 1", "  GET   a ", "", "get", "dance x", "PING"]
+    lines = ["set a 1", "  GET   a ", "", "get", "dance x", "PING", "delete k", "DEL k", "exit", "set a b 7", "set a b x", "expire k 9", "expire k", f"expire k {2**63}", f"expire k {2**64}", "get a b"]
     got = {r.line: (r.op, r.key, r.status) for r in w.parse_text(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
     assert got["set a 1"] == ("SET", "a", "OK") and got["  GET   a "] == ("GET", "a", "OK") and got[""][2] == "EMPTY"
+    assert got["delete k"] == got["DEL k"] == ("DELETE", "k", "OK") and got["exit"][::2] == ("QUIT", "OK")
+    assert [got[x][2] for x in lines[9:]] == ["OK", "BAD_TTL", "OK", "ARGUMENTS", "OK", "BAD_TTL", "ARGUMENTS"]
     assert got["get"][2] == "ARGUMENTS" and got["dance x"][2] == "UNKNOWN" and got["PING"][2] == "OK"
