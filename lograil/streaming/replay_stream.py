@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.folders import shared_folder
+
 STATE = "alive boolean, value string, expire_at_ms long, last_lsn long"
 OUT = "key string, alive boolean, value string, expire_at_ms long, last_lsn long"
 
@@ -47,22 +49,32 @@ def fold_stream(log: DataFrame) -> DataFrame:
 
 
 def run_fold(spark: SparkSession, log: DataFrame, name: str, seconds: int = 300) -> DataFrame:
-    """Runs the fold over all that the source has now; the table of each key's last update."""
+    """Runs the fold over all that the source has now; the table of each key's last update.
+
+    Each micro-batch's updates are written to a folder of their own, so a batch that is run again replaces them.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    query = (
-        fold_stream(log).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True)
-        .option("checkpointLocation", _folder(spark, name)).start()
-    )
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError(name)
-    return spark.sql(f"SELECT key, max_by(struct(alive, value, expire_at_ms, last_lsn), last_lsn) AS s FROM {name} GROUP BY key").select("key", "s.*")
+    folder = shared_folder(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
 
+    query = fold_stream(log).writeStream.foreachBatch(write).outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start()
+    wait(query, name, seconds)
+    updates = spark.read.schema(OUT).parquet(f"{folder}/updates")
+    last = F.max(F.struct("last_lsn", "alive", "value", "expire_at_ms")).alias("s")
+    return updates.groupBy("key").agg(last).select("key", "s.alive", "s.value", "s.expire_at_ms", "s.last_lsn")
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    import uuid
 
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+def drain(spark: SparkSession, rows: DataFrame, name: str, seconds: int = 300) -> DataFrame:
+    """All rows that a stream has now, by a file sink, which keeps each of them once."""
+    folder = shared_folder(spark, name)
+    query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    wait(query, name, seconds)
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+def wait(query, name: str, seconds: int) -> None:
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(name)
