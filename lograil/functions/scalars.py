@@ -29,6 +29,11 @@ def _places(n: Column, unit: int, places: int, even: bool) -> Column:
     return F.concat(sign, F.floor(digits / 10**places).cast("string"), F.lit("."), F.lpad((digits % 10**places).cast("string"), places, "0"))
 
 
+def places(n: Column, unit: int, digits: int) -> Column:
+    """n / unit with so many decimals, ties up."""
+    return _places(n, unit, digits, False)
+
+
 def format_bytes(n: Column) -> Column:
     """1536 -> 1.50KiB; below 1024 without decimals; ties go to the even digit."""
     out = F.when(F.lit(False), "")
@@ -88,8 +93,18 @@ def opcode_name(code: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for k, v in OPCODES.items() for x in (v, k)])[code], F.lit("UNKNOWN"))
 
 
+def status(name: Column) -> Column:
+    """Its number, whatever the case; null if there is none."""
+    return F.create_map(*[F.lit(x) for kv in STATUSES.items() for x in kv])[F.upper(name)]
+
+
+def status_name(code: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for k, v in STATUSES.items() for x in (v, k)])[code], F.lit("UNKNOWN"))
+
+
 def fatal_status(code: Column) -> Column:
-    return code == 0x80
+    """Whether a status ends its connection."""
+    return code >= 0x80
 
 
 def next_power_of_two(n: Column) -> Column:

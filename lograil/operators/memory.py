@@ -26,6 +26,24 @@ def with_cost(state: DataFrame) -> DataFrame:
     return state.withColumn("size_bytes", entry_cost())
 
 
+def safe_ratio(held: Column, logical: Column) -> Column:
+    """held / logical, and 0 where either isn't positive."""
+    return F.when((logical > 0) & (held > 0), held / logical).otherwise(0.0)
+
+
+def stats_document(state: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """One row with the store's counters as JSON: keys, bytes, both for each shard, hits and misses of GETs."""
+    rows = with_cost(state).groupBy(shard_of(F.col("key"), shards).alias("s"))
+    each = rows.agg(F.count("*").alias("k"), F.count_if(F.col("expire_at_ms") != 0).alias("t"), F.sum("size_bytes").alias("b"))
+    by_shard = F.map_from_entries(F.collect_list(F.struct("s", F.struct("k", "b"))))
+    of = lambda f: F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.col("m")[i][f], F.lit(0)))
+    store = each.agg(F.sum("k").alias("keys"), F.sum("t").alias("keys_with_ttl"), F.sum("b").alias("logical_bytes"), by_shard.alias("m"))
+    gets = answers.where("op = 'GET'").agg(F.count_if(F.col("status") == "OK").alias("hits"), F.count_if(F.col("status") != "OK").alias("misses"))
+    one = store.crossJoin(gets).withColumns({"shards": F.lit(shards), "shard_keys": of("k"), "shard_bytes": of("b")})
+    names = ["shards", "keys", "keys_with_ttl", "logical_bytes", "shard_keys", "shard_bytes", "hits", "misses"]
+    return one.select(F.to_json(F.struct(F.struct(*names).alias("store"))).alias("stats"))
+
+
 def evict_exact(state: DataFrame, budget: int, partition: list[str], volatile: bool = False, protect: str | None = None) -> DataFrame:
     """Adds victim: the least recently used entries of each partition, until its bytes are at budget or below.
 
@@ -44,22 +62,122 @@ def evict_exact(state: DataFrame, budget: int, partition: list[str], volatile: b
     return rows.withColumn("victim", F.col("can") & (F.col("total") - freed > budget)).drop("can", "total")
 
 
-def evict_sampled(state: DataFrame, shards: int, k: int = 5, seed: int = 7) -> DataFrame:
-    """shard, key: the least recently used of about k entries sampled in each shard."""
-    rows = state.withColumn("shard", shard_of(F.col("key"), shards)).withColumn("r", F.rand(seed))
-    share = rows.groupBy("shard").agg(F.count("*").alias("n"))
-    picked = rows.join(share, "shard").where(F.col("r") < F.lit(float(k)) / F.col("n"))
-    return picked.groupBy("shard").agg(F.min_by("key", F.struct("last_access_ms", "key")).alias("key"))
+#: Victims that one write may cost, at most.
+MAX_VICTIMS = 200
+
+
+def evict_to_mark(state: DataFrame, limit: int, partition: list[str], low_ratio: float = LOW_WATER, volatile: bool = False) -> DataFrame:
+    """Adds victim: where a partition's bytes exceed limit, its least recently used entries until low_ratio * limit is met.
+
+    At most MAX_VICTIMS go, those of a partition that is one shard of the store, so no task ranks the whole keyspace.
+    """
+    can = (F.col("expire_at_ms") != 0) if volatile else F.lit(True)
+    rows = with_cost(state).withColumn("can", can).withColumn("total", F.sum("size_bytes").over(Window.partitionBy(*partition)))
+    order = Window.partitionBy(*partition, "can").orderBy("last_access_ms", "key")
+    freed = F.sum("size_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size_bytes")
+    rows = rows.withColumns({"freed": freed, "rank": F.row_number().over(order)})
+    goes = F.col("can") & (F.col("total") > limit) & (F.col("total") - F.col("freed") > int(limit * low_ratio)) & (F.col("rank") <= MAX_VICTIMS)
+    return rows.withColumn("victim", goes).drop("can", "total", "freed", "rank")
+
+
+#: Ranges of access time over which a whole store's bytes are summed.
+RANGES = 4096
 
 
-def admit_noeviction(inserts: DataFrame, limit: int, order: str) -> DataFrame:
-    """Adds admitted for distinct new keys in order, in one shard: those before the limit is first passed.
+def evict_exact_store(state: DataFrame, budget: int, volatile: bool = False) -> DataFrame:
+    """Adds victim over the whole store as evict_exact does, without ranking all entries.
 
-    A refused insert leaves the bytes as they are, so later smaller ones could still fit; with inserts of
-    unequal cost use replay_with_limit.
+    Bytes are summed by RANGES of access time; whole ranges go or stay, and only the range in which the budget is
+    met is ranked.
     """
-    used = F.sum("size_bytes").over(Window.partitionBy("shard").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return with_cost(inserts).withColumn("admitted", used <= limit)
+    can = (F.col("expire_at_ms") != 0) if volatile else F.lit(True)
+    rows = with_cost(state).withColumn("can", can)
+    ends = rows.agg(F.min("last_access_ms").alias("lo"), F.max("last_access_ms").alias("hi"), F.sum("size_bytes").alias("total"))
+    rows = rows.crossJoin(F.broadcast(ends)).withColumn("range", F.floor((F.col("last_access_ms") - F.col("lo")) / (F.floor((F.col("hi") - F.col("lo")) / RANGES) + 1)))
+    sums = rows.where("can").groupBy("range").agg(F.sum("size_bytes").alias("bytes"))  # RANGES rows at most
+    sums = sums.withColumn("upto", F.sum("bytes").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = sums.select("range", (F.col("upto") - F.col("bytes")).alias("before"), "upto")
+    rows = rows.join(F.broadcast(sums), "range", "left")
+    need = F.col("total") - budget
+    edge = F.col("can") & (F.col("before") < need) & (F.col("upto") > need)
+    inside = F.sum("size_bytes").over(Window.partitionBy("range").orderBy("last_access_ms", "key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size_bytes")
+    names = [*state.columns, "size_bytes"]
+    ranked = rows.where(edge).withColumn("victim", F.col("before") + inside < need)
+    rest = rows.where(~F.coalesce(edge, F.lit(False))).withColumn("victim", F.coalesce(F.col("can") & (F.col("upto") <= need), F.lit(False)))
+    return ranked.select(*names, "victim").unionByName(rest.select(*names, "victim"))
+
+
+class SplitMix:
+    """The splitmix64 generator; intn(n) is its next number modulo n."""
+
+    def __init__(self, seed: int):
+        self.state = seed & (1 << 64) - 1
+
+    def next(self) -> int:
+        self.state = (self.state + 0x9E3779B97F4A7C15) & (1 << 64) - 1
+        z = self.state
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        return z ^ z >> 31
+
+    def intn(self, n: int) -> int:
+        return self.next() % n
+
+
+def sampled_victims(entries: list[tuple[str, int, int, int]], limit: int, k: int, seed: int, low_ratio: float = LOW_WATER, volatile: bool = False, protect: str | None = None) -> list[str]:
+    """Victims, in order, of entries (key, bytes, last access, deadline) of one shard: each the oldest of k that are drawn."""
+    used, low = sum(e[1] for e in entries), int(limit * low_ratio)
+    if used <= limit:
+        return []
+    pool = [e for e in entries if e[3] or not volatile]
+    rng, out = SplitMix(seed), []
+    while used > low and len(out) < MAX_VICTIMS and pool:
+        drawn = [i for i in (rng.intn(len(pool)) for _ in range(k)) if pool[i][0] != protect]
+        if not drawn:  # only the protected key was drawn
+            drawn = [i for i, e in enumerate(pool) if e[0] != protect][:1]
+            if not drawn:
+                break
+        at = min(drawn, key=lambda i: pool[i][2])
+        out.append(pool[at][0])
+        used -= pool[at][1]
+        pool[at] = pool[-1]
+        pool.pop()
+    return out
+
+
+def evict_sampled(state: DataFrame, shards: int, limit: int, k: int = 5, seed: int = 7, volatile: bool = False) -> DataFrame:
+    """shard, ord, key: sampled LRU in each shard, until its share of limit is met down to the low-water mark.
+
+    Each draw depends on those before it, so a shard is one task; there are at most MAX_VICTIMS of them.
+    """
+    budget = limit // shards
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        shard = int(pdf["shard"].iloc[0])
+        gone = sampled_victims(list(pdf[["key", "size_bytes", "last_access_ms", "expire_at_ms"]].itertuples(index=False, name=None)), budget, k, seed + shard, volatile=volatile)
+        return pd.DataFrame({"shard": shard, "ord": range(len(gone)), "key": gone}).astype({"shard": "int32", "ord": "int32", "key": "object"})
+
+    rows = with_cost(state).select("key", "size_bytes", "last_access_ms", "expire_at_ms", shard_of(F.col("key"), shards).alias("shard"))
+    return rows.groupBy("shard").applyInPandas(run, "shard int, ord int, key string")
+
+
+def admit_noeviction(inserts: DataFrame, limit: int, partition: str, order: str) -> DataFrame:
+    """Adds admitted for distinct new keys in order: an insert that doesn't fit is refused and leaves the bytes as they are.
+
+    Whether one fits depends on all before it in its partition, so a partition (a shard) is one task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        used, out = 0, []
+        for size in pdf["size_bytes"].tolist():
+            out.append(used + size <= limit)
+            used += size if out[-1] else 0
+        return pd.DataFrame({"key": pdf["key"], "admitted": out})
+
+    rows = with_cost(inserts).select(F.col(partition).alias("part"), "key", F.col(order).alias("ord"), "size_bytes")
+    return rows.groupBy("part").applyInPandas(run, "key string, admitted boolean")
 
 
 def replay_with_limit(log: DataFrame, limit: int, shards: int, policy: str = "allkeys-lru") -> DataFrame:

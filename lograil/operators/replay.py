@@ -4,8 +4,9 @@ Records of a key apply in the order of lsn, each with its own created_at_ms as t
 deadline, DEL removes the key, EXPIRE moves the deadline of a key that is live then and else does nothing. A
 record whose deadline has passed (`expire_at_ms <= now`, 0 means never) is dead for good until the next SET.
 
-All of it is one shuffle by key: an epoch is a SET or DEL with the EXPIREs after it; within it, an EXPIRE that
-comes after the deadline before it ends the epoch's life.
+An epoch is a SET or DEL with the EXPIREs after it; within it, an EXPIRE that comes after the deadline before it
+ends the epoch's life. What a key is at each record takes one shuffle of the log by key; what it is at the end
+needs its last epoch only, and partial aggregation finds that.
 """
 
 from __future__ import annotations
@@ -44,11 +45,21 @@ def with_epochs(log: DataFrame, order: tuple[str, ...] = ("lsn",)) -> DataFrame:
 
 
 def keyspace(log: DataFrame) -> DataFrame:
-    """kv_state(key, value, expire_at_ms, last_lsn) at the end of the log; deadlines still to be compared with a time."""
-    last = F.max(F.struct("lsn", "lead", "expire_at_ms", "dead")).alias("s")
-    value = F.max_by("value", F.when(F.col("rec_type") == "SET", F.col("lsn"))).alias("value")
-    state = with_epochs(log).groupBy("key").agg(last, value)
-    return state.where("s.lead = 'SET' and s.dead = 0").select("key", "value", "s.expire_at_ms", F.col("s.lsn").alias("last_lsn"))
+    """kv_state(key, value, expire_at_ms, last_lsn) at the end of the log; deadlines still to be compared with a time.
+
+    Each key's last SET or DEL is found by partial aggregation, so a key with a third of the records sends a row from
+    each task. Only the EXPIREs that come after a last SET are ordered: one that comes after the deadline before it
+    ends the entry's life.
+    """
+    lead = F.max(F.when(F.col("rec_type").isin("SET", "DEL"), F.struct("lsn", "rec_type", "value", "expire_at_ms"))).alias("s")
+    lead = log.groupBy("key").agg(lead, F.max("lsn").alias("last_lsn")).where("s.rec_type = 'SET'")
+    moves = log.where("rec_type = 'EXPIRE'").select("key", F.col("lsn").alias("at"), "created_at_ms", F.col("expire_at_ms").alias("moved"))
+    moves = moves.join(lead.select("key", "s.lsn", "s.expire_at_ms"), "key").where("at > lsn")
+    before = F.coalesce(F.lag("moved").over(Window.partitionBy("key").orderBy("at")), "expire_at_ms")
+    moves = moves.withColumn("late", (before != 0) & (before <= F.col("created_at_ms")))
+    ends = moves.groupBy("key").agg(F.max(F.struct("at", "moved"))["moved"].alias("moved"), F.max("late").alias("dead"))
+    state = lead.join(ends, "key", "left").where(~F.coalesce("dead", F.lit(False)))
+    return state.select("key", "s.value", F.coalesce("moved", "s.expire_at_ms").alias("expire_at_ms"), "last_lsn")
 
 
 def log_end(log: DataFrame) -> DataFrame:
@@ -76,6 +87,15 @@ def keys_with_prefix(live: DataFrame, prefix: str, limit: int) -> DataFrame:
     return live.where(F.col("key").startswith(prefix)).select("key").orderBy("key").limit(limit)
 
 
+def listing(live: DataFrame, shown: int) -> DataFrame:
+    """ord, line: the first `shown` keys in byte order, and how many more there are."""
+    top = live.select("key").orderBy("key").limit(shown)
+    lines = top.groupBy().agg(F.array_sort(F.collect_list("key")).alias("k")).select(F.posexplode("k").alias("ord", "key"))
+    more = live.agg(F.count("*").alias("n")).where(F.col("n") > shown)
+    last = more.select(F.lit(shown).alias("ord"), F.concat(F.lit("  ... and "), (F.col("n") - shown).cast("string"), F.lit(" more")).alias("line"))
+    return lines.select("ord", F.concat(F.lit("  "), "key").alias("line")).unionByName(last).withColumn("ord", F.col("ord").cast("long"))
+
+
 def before_each(log: DataFrame, order: tuple[str, ...] = ("lsn",)) -> DataFrame:
     """Adds live_before, value_before and deadline_before: what the key was when the record came."""
     by_key = Window.partitionBy("key").orderBy(*order)

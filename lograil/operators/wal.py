@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
+
 #: Bytes of a record besides key and value.
 RECORD_OVERHEAD = 40
 
@@ -26,48 +28,75 @@ def stats(log: DataFrame) -> DataFrame:
     )
 
 
+#: Blocks of a first level that make one of the second, over whose totals one task runs.
+SUPER = 1000
+
+
+def shifted(totals: DataFrame, block: str, value: str) -> DataFrame:
+    """Adds shift, the sum of value in all blocks before each, for one row a block; by blocks of blocks."""
+    rows = totals.withColumn("super", F.floor(F.col(block) / SUPER))
+    upper = rows.groupBy("super").agg(F.sum(value).alias("sum"))
+    upper = upper.select("super", (F.sum("sum").over(Window.orderBy("super").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("base"))
+    inside = F.sum(value).over(Window.partitionBy("super").orderBy(block).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return rows.withColumn("inside", inside).join(upper, "super").withColumn("shift", F.col("base") + F.col("inside")).drop("super", "inside", "base")
+
+
+def _previous(rows: DataFrame, block: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (before, lsn) of neighbours within each block of rows(block, lsn, last), and the blocks' own edges."""
+    inside = rows.withColumn("before", F.lag("last").over(Window.partitionBy(block).orderBy("lsn"))).where("before is not null")
+    return inside.select("before", "lsn"), rows.groupBy(block).agg(F.min("lsn").alias("lsn"), F.max("last").alias("last"))
+
+
 def gaps(log: DataFrame, per_segment: int) -> DataFrame:
     """after_lsn, next_lsn, missing: holes in the log.
 
-    Segments are ranges of lsn and are looked at apart; their first and last lsns, a row for each segment,
-    are compared in a second, small window.
+    Segments are ranges of lsn and are looked at apart; so are the edges of SUPER segments each, and one small
+    window compares the edges of those.
     """
-    seg = log.select("lsn", F.floor((F.col("lsn") - 1) / per_segment).alias("segment"))
-    inside = seg.withColumn("before", F.lag("lsn").over(Window.partitionBy("segment").orderBy("lsn"))).where("before is not null")
-    edges = seg.groupBy("segment").agg(F.min("lsn").alias("lsn"), F.max("lsn").alias("last"))
-    between = edges.withColumn("before", F.lag("last").over(Window.orderBy("segment"))).where("before is not null")
-    both = inside.select("before", "lsn").unionByName(between.select("before", "lsn")).where("lsn - before <> 1")
+    first, edges = _previous(log.select("lsn", F.col("lsn").alias("last"), F.floor((F.col("lsn") - 1) / per_segment).alias("segment")), "segment")
+    second, edges = _previous(edges.withColumn("segment", F.floor(F.col("segment") / SUPER)), "segment")
+    third, _ = _previous(edges.withColumn("segment", F.lit(0)), "segment")
+    both = first.unionByName(second).unionByName(third).where("lsn - before <> 1")
     return both.select(F.col("before").alias("after_lsn"), F.col("lsn").alias("next_lsn"), (F.col("lsn") - F.col("before") - 1).alias("missing"))
 
 
 def assign_segments(log: DataFrame, limit: int, block: int = 100_000) -> DataFrame:
-    """Adds segment_first_lsn: a record goes to segment floor(bytes before it / limit).
+    """segment_first_lsn, records, bytes: a record goes to segment floor(bytes before it / limit).
 
     Running sums are taken in blocks of lsns and shifted by the sums of the blocks before, so no task sorts the log.
     """
-    rows = log.withColumn("bytes", encoded_length().cast("long")).withColumn("block", F.floor((F.col("lsn") - 1) / block))
-    sums = rows.groupBy("block").agg(F.sum("bytes").alias("b"))
-    before = sums.withColumn("shift", F.sum("b").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b"))
+    rows = log.select("lsn", encoded_length().cast("long").alias("bytes"), F.floor((F.col("lsn") - 1) / block).alias("block"))
+    before = shifted(rows.groupBy("block").agg(F.sum("bytes").alias("b")), "block", "b")
     inside = F.sum("bytes").over(Window.partitionBy("block").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
-    rows = rows.join(before.select("block", "shift"), "block").withColumn("segment", F.floor((F.col("shift") + inside) / limit))
-    firsts = rows.groupBy("segment").agg(F.min("lsn").alias("segment_first_lsn"), F.count("*").alias("records"), F.sum("bytes").alias("bytes"))
-    return firsts
+    rows = rows.withColumn("inside", inside).join(before.select("block", "shift"), "block").withColumn("segment", F.floor((F.col("shift") + F.col("inside")) / limit))
+    return rows.groupBy("segment").agg(F.min("lsn").alias("segment_first_lsn"), F.count("*").alias("records"), F.sum("bytes").alias("bytes"))
 
 
 def truncatable(segments: DataFrame, snapshot_lsn: int) -> DataFrame:
-    """Adds dropped: a segment goes iff the next one begins at snapshot_lsn + 1 or below; the last one never does."""
-    following = F.lead("segment_first_lsn").over(Window.orderBy("segment_first_lsn"))
-    return segments.withColumn("dropped", F.coalesce(following <= snapshot_lsn + 1, F.lit(False)))
+    """Adds dropped: a segment goes iff the next one begins at snapshot_lsn + 1 or below; the last one never does.
 
+    So all go that begin before the last segment that begins at snapshot_lsn + 1 or below.
+    """
+    keeper = segments.where(F.col("segment_first_lsn") <= snapshot_lsn + 1).agg(F.max("segment_first_lsn").alias("keeper"))
+    return segments.crossJoin(F.broadcast(keeper)).withColumn("dropped", F.coalesce(F.col("segment_first_lsn") < F.col("keeper"), F.lit(False))).drop("keeper")
+
+
+def newest(manifest: DataFrame, keep: int, by: str = "lsn") -> DataFrame:
+    """Adds kept: whether a snapshot is one of the newest `keep`."""
+    edge = manifest.orderBy(F.desc(by)).limit(keep).agg(F.min(by).alias("edge"))
+    return manifest.crossJoin(F.broadcast(edge)).withColumn("kept", F.col(by) >= F.col("edge")).drop("edge")
 
-def append(log: DataFrame, base: int, block: int = 100_000) -> DataFrame:
-    """Gives new records dense lsns after base, in the order of (created_at_ms, key, rec_type)."""
+
+def append(log: DataFrame, base: int) -> DataFrame:
+    """Gives new records dense lsns after base, in the order of (created_at_ms, key, rec_type).
+
+    The ranges are cut once and kept by a checkpoint, so their counts and their rows are of one cut.
+    """
     order = ("created_at_ms", "key", "rec_type")
-    ranged = log.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranged = checkpointed(log.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    counts = shifted(ranged.groupBy("part").agg(F.count("*").alias("n")), "part", "n").select("part", "shift")
     inside = ranged.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    counts = inside.groupBy("part").agg(F.max("i").alias("n"))
-    shift = counts.withColumn("shift", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("part", "shift")
-    return inside.join(shift, "part").withColumn("new_lsn", F.lit(base) + F.col("shift") + F.col("i"))
+    return inside.join(counts, "part").withColumn("new_lsn", F.lit(base) + F.col("shift") + F.col("i"))
 
 
 def commit_batches(log: DataFrame, size: int) -> DataFrame:

@@ -94,11 +94,21 @@ def kv_replay_top(spark, d):
     return _live(spark, d).select("key", "value").orderBy("key").limit(20)
 
 
+@query(sql.live("""SELECT i AS ord, CASE WHEN i < 20 THEN '  ' || key ELSE '  ... and ' || (n - 20) || ' more' END AS line
+FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM live) WHERE i <= 20"""))
+def kv_replay_more(spark, d):
+    return replay.listing(_live(spark, d), 20)
+
+
+def _cut(log: DataFrame) -> int:
+    """The lsn in the middle of the log, read first, so that filters on it reach the scan as literals."""
+    return int((log.agg(F.max("lsn")).first()[0] or 0) * MID)
+
+
 def _half(spark, d) -> DataFrame:
-    """The log's first half by lsn, from one scalar."""
+    """The log's first half by lsn."""
     log = _log(spark, d)
-    cut = log.agg(F.floor(F.max("lsn") * MID).alias("cut"))
-    return log.crossJoin(F.broadcast(cut)).where("lsn <= cut").drop("cut")
+    return log.where(F.col("lsn") <= _cut(log))
 
 
 HALF = "half AS (SELECT * FROM log WHERE lsn <= (SELECT floor(max(lsn) * 0.5) FROM log))"
@@ -150,8 +160,7 @@ FLUSHED = "flushed AS (SELECT * FROM log WHERE lsn > (SELECT floor(max(lsn) * 0.
 def kv_flush(spark, d):
     log = _log(spark, d)
     # A FLUSH takes the place of the record in the middle of the log.
-    cut = F.broadcast(log.agg(F.floor(F.max("lsn") * MID).alias("cut")))
-    kinds = log.crossJoin(cut).withColumn("rec_type", F.when(F.col("lsn") == F.col("cut"), "FLUSH").otherwise(F.col("rec_type"))).drop("cut")
+    kinds = log.withColumn("rec_type", F.when(F.col("lsn") == _cut(log), "FLUSH").otherwise(F.col("rec_type")))
     kept = replay.with_flushes(kinds)
     return replay.at_end(replay.keyspace(kept), log).where(~replay.expired(F.col("now"))).select("key", "value")
 
@@ -283,9 +292,9 @@ def group_commit_stats(spark, d):
 
 @query(sql.log("SELECT key, value, expire_at AS expire_at_ms, (SELECT max(lsn) FROM half) AS last_included_lsn FROM livehalf", HALF, sql.fold("half", "h"), LIVE_HALF))
 def snapshot_build(spark, d):
-    half = _half(spark, d)
-    # The lsn is fixed before the entries are read.
-    return replay.live_at_end(half).crossJoin(F.broadcast(half.agg(F.max("lsn").alias("last_included_lsn")))).drop("last_lsn")
+    log = _log(spark, d)
+    last = _cut(log)  # the lsn is fixed before the entries are read
+    return replay.live_at_end(log.where(F.col("lsn") <= last)).select("key", "value", "expire_at_ms", F.lit(last).cast("long").alias("last_included_lsn"))
 
 
 RECOVERED = """snap AS (SELECT (SELECT max(lsn) FROM half) AS lsn, 0::BIGINT AS tm, key, 'SET' AS rec_type, value, expire_at FROM livehalf),
@@ -295,11 +304,8 @@ joined AS (SELECT * FROM snap UNION ALL SELECT lsn, tm, key, rec_type, value, ex
 @query(sql.log(f"SELECT key, value, expire_at AS expire_at_ms FROM kvj WHERE expire_at = 0 OR expire_at > {sql.NOW}", HALF, REST, sql.fold("half", "h"), LIVE_HALF, RECOVERED, sql.fold("joined", "j")))
 def recover_snapshot_plus_log(spark, d):
     log = _log(spark, d)
-    cut = F.broadcast(log.agg(F.floor(F.max("lsn") * MID).alias("cut")))
-    entries = replay.live_at_end(_half(spark, d)).crossJoin(cut)
-    snapshot = replay.snapshot_rows(entries, F.col("cut"), F.lit(0).cast("long"))
-    tail = log.crossJoin(cut).where("lsn > cut").drop("cut")
-    state = replay.keyspace(snapshot.unionByName(tail))
+    cut = _cut(log)
+    state = replay.recover(replay.live_at_end(log.where(F.col("lsn") <= cut)), log, cut)
     return replay.at_end(state, log).where(~replay.expired(F.col("now"))).select("key", "value", "expire_at_ms")
 
 
@@ -313,13 +319,66 @@ def recovery_report(spark, d):
     )
 
 
+@query(sql.log("SELECT lsn, tm AS created_at_ms, rec_type, key, coalesce(value, '') AS value, expire_at AS expire_at_ms FROM log"))
+def wal_files(spark, d):
+    # The log is written as segments and recovered from them.
+    from ..sources import folders, formats, recovery
+
+    formats.register(spark)
+    folder = folders.shared_folder(spark, "segments").removeprefix("file://")
+    binary = [F.col(c).cast("binary").alias(c) for c in ("key", "value")]
+    rows = _log(spark, d).select("lsn", "created_at_ms", "rec_type", F.lit(0).alias("flags"), *binary, "expire_at_ms")
+    rows.repartitionByRange("lsn").sortWithinPartitions("lsn").write.format("keyed_log").option("segment_size", 256 << 10).mode("append").save(folder)
+    _, log, plan = recovery.recover(spark, folder)
+    assert plan.verdict == "continue"
+    return log.select("lsn", "created_at_ms", "rec_type", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "expire_at_ms")
+
+
+@query(sql.live("SELECT key, value, expire_at AS expire_at_ms, (SELECT max(lsn) FROM log) AS last_included_lsn FROM live"))
+def snapshot_files(spark, d):
+    # The live entries are written as a snapshot and loaded from it.
+    from ..sources import folders, formats
+
+    formats.register(spark)
+    folder = folders.shared_folder(spark, "snapshots").removeprefix("file://")
+    last = _log(spark, d).agg(F.max("lsn")).first()[0] or 0
+    entries = _live(spark, d).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "expire_at_ms")
+    entries.write.format("keyed_snapshot").option("last_lsn", last).mode("append").save(folder)
+    got = spark.read.format("keyed_snapshot").load(folder)
+    return got.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "expire_at_ms", "last_included_lsn")
+
+
+@query(sql.log("""SELECT 'p' || (lsn % 4) AS stream, 'RECORD' AS msg_type, lsn, NULL::BIGINT AS epoch, rec_type, key FROM log
+UNION ALL SELECT 'p' || i, 'HEARTBEAT', (SELECT max(lsn) FROM log), 3, NULL, NULL FROM range(4) t(i)"""))
+def repl_messages(spark, d):
+    # Four captures of a primary's stream, each ending in a heartbeat, are decoded.
+    import pandas as pd
+
+    from ..sources import captures, formats
+
+    log = _log(spark, d)
+    end = log.agg(F.max("lsn")).first()[0] or 0
+
+    def encode(batches):
+        for pdf in batches:
+            raw = [captures.encode_message("RECORD", record=formats.Record(r.lsn, r.created_at_ms, r.rec_type, 0, r.key.encode(), (r.value or "").encode(), r.expire_at_ms)) for r in pdf.itertuples()]
+            yield pd.DataFrame({"stream": "p" + (pdf["lsn"] % 4).astype(str), "lsn": pdf["lsn"], "data": raw})
+
+    messages = log.select("lsn", "created_at_ms", "rec_type", "key", "value", "expire_at_ms").mapInPandas(encode, "stream string, lsn long, data binary")
+    # A capture is cut into pieces of some thousand messages, so no row holds a whole stream.
+    pieces = messages.groupBy("stream", F.floor(F.col("lsn") / 8000).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("lsn", "data"))).alias("m"))
+    data = pieces.select("stream", F.aggregate("m", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("data"))
+    beats = spark.range(4).select(F.concat(F.lit("p"), "id").alias("stream"), F.lit(captures.encode_message("HEARTBEAT", end, 3)).alias("data"))
+    got = captures.replication_messages(data.unionByName(beats))
+    return got.select("stream", "msg_type", "lsn", "epoch", "rec_type", F.col("key").cast("string").alias("key"))
+
+
 MANIFEST = "man AS (SELECT lsn, tm FROM log WHERE lsn % 500 = 0)"
 
 
 @query(sql.log("SELECT lsn, row_number() OVER (ORDER BY lsn DESC) <= 2 AS kept FROM man", MANIFEST))
 def snapshot_prune(spark, d):
-    manifest = _log(spark, d).where("lsn % 500 = 0").select("lsn")
-    return manifest.withColumn("kept", F.row_number().over(Window.orderBy(F.desc("lsn"))) <= 2)
+    return wal.newest(_log(spark, d).where("lsn % 500 = 0").select("lsn"), 2)
 
 
 @query(sql.log("SELECT tm // 3600000 AS hour, count(*) AS changes, count(*) >= 5 AS due FROM log GROUP BY 1"))
@@ -373,18 +432,32 @@ def store_stats(spark, d):
     return rows.agg(F.count("*").alias("keys"), F.count_if(F.col("expire_at_ms") != 0).alias("keys_with_ttl"), F.sum("size_bytes").alias("bytes"))
 
 
-@query(sql.orders("SELECT sum(cost)::BIGINT AS bytes, count(*) AS keys, 16::BIGINT AS shards FROM kv"))
+HASHED = sql.xxhash("kv", "hx", "key", len("order:000000000"))
+
+
+@query(sql.orders("SELECT (h % 16)::INT AS shard, count(*) AS keys, sum(cost)::BIGINT AS bytes FROM hx GROUP BY 1", HASHED))
+def shard_breakdown(spark, d):
+    rows = memory.with_cost(src.order_keyspace(spark, d)).groupBy(memory.shard_of(F.col("key"), SHARDS).alias("shard"))
+    return rows.agg(F.count("*").alias("keys"), F.sum("size_bytes").alias("bytes"))
+
+
+@query(sql.orders("""SELECT sum(b)::BIGINT AS bytes, sum(k)::BIGINT AS keys, count(*) AS shards, min(k) AS fewest, max(k) AS most, max(b) * 16 / sum(b) AS skew
+  FROM (SELECT h % 16 AS s, count(*) AS k, sum(cost)::BIGINT AS b FROM hx GROUP BY 1)""", HASHED))
 def shard_skew(spark, d):
     rows = memory.with_cost(src.order_keyspace(spark, d)).groupBy(memory.shard_of(F.col("key"), SHARDS).alias("shard"))
     each = rows.agg(F.count("*").alias("k"), F.sum("size_bytes").alias("b"))
-    return each.agg(F.sum("b").alias("bytes"), F.sum("k").alias("keys"), F.count("*").alias("shards"))
+    return each.agg(
+        F.sum("b").alias("bytes"), F.sum("k").alias("keys"), F.count("*").alias("shards"), F.min("k").alias("fewest"), F.max("k").alias("most"),
+        (F.max("b") * SHARDS / F.sum("b")).alias("skew"),
+    )
 
 
-@query(sql.orders("SELECT count(*) AS keys, TRUE AS uniform FROM kv"))
+@query(sql.orders("SELECT sum(o)::BIGINT AS keys, sum(o * o) * 256 / sum(o) - sum(o) AS chi2, sum(o * o) * 256 / sum(o) - sum(o) <= 331 AS uniform FROM (SELECT count(*) AS o FROM hx GROUP BY h % 256)", HASHED))
 def shard_chi2(spark, d):
     each = src.order_keyspace(spark, d).groupBy(memory.shard_of(F.col("key"), 256).alias("shard")).agg(F.count("*").alias("o"))
     total = each.agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o")).alias("sq"))
-    return total.select(F.col("n").alias("keys"), (F.col("sq") * 256 / F.col("n") - F.col("n") <= 331).alias("uniform"))
+    chi2 = F.col("sq") * 256 / F.col("n") - F.col("n")
+    return total.select(F.col("n").alias("keys"), chi2.alias("chi2"), (chi2 <= 331).alias("uniform"))
 
 
 EVICT = """ev AS (SELECT key, can, sum(cost) OVER () AS total, coalesce(sum(cost) OVER (PARTITION BY can ORDER BY access, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed
@@ -392,8 +465,7 @@ EVICT = """ev AS (SELECT key, can, sum(cost) OVER () AS total, coalesce(sum(cost
 
 
 def _evict(spark, d, **how) -> DataFrame:
-    rows = src.order_keyspace(spark, d).withColumn("store", F.lit(0))
-    return memory.evict_exact(rows, 200_000, ["store"], **how).select("key", "victim")
+    return memory.evict_exact_store(src.order_keyspace(spark, d), 200_000, **how).select("key", "victim")
 
 
 @query(sql.orders("SELECT key, can AND total - freed > 200000 AS victim FROM ev", EVICT.format(can="TRUE")))
@@ -416,15 +488,38 @@ def evict_exact_lru(spark, d):
     return memory.evict_exact(rows, 2_000, ["c"], protect="order:000000007").select("key", "victim")
 
 
+TO_MARK = """m AS (SELECT *, h % 16 AS s, {can} AS can FROM hx),
+mark AS (SELECT *, sum(cost) OVER (PARTITION BY s) AS total, row_number() OVER w AS r, coalesce(sum(cost) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed
+  FROM m WINDOW w AS (PARTITION BY s, can ORDER BY access, key))"""
+GOES = "SELECT key, can AND total > 150000 AND total - freed > 142500 AND r <= 200 AS victim FROM mark"
+
+
+@query(sql.orders(GOES, HASHED, TO_MARK.format(can="TRUE")))
+def evict_to_mark(spark, d):
+    # Each shard to its low-water mark, at most 200 victims.
+    rows = src.order_keyspace(spark, d).withColumn("shard", memory.shard_of(F.col("key"), SHARDS))
+    return memory.evict_to_mark(rows, 150_000, ["shard"]).select("key", "victim")
+
+
+@query(sql.orders(GOES, HASHED, TO_MARK.format(can="expire_at <> 0")))
+def evict_to_mark_volatile(spark, d):
+    rows = src.order_keyspace(spark, d).withColumn("shard", memory.shard_of(F.col("key"), SHARDS))
+    return memory.evict_to_mark(rows, 150_000, ["shard"], volatile=True).select("key", "victim")
+
+
 @query()
 def evict_sampled_lru(spark, d):
-    return memory.evict_sampled(src.order_keyspace(spark, d), SHARDS)
+    return memory.evict_sampled(src.order_keyspace(spark, d), SHARDS, 1_600_000)
 
 
-@query(sql.orders("SELECT key, sum(cost) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) <= 100000 AS admitted FROM kv"))
+@query("WITH RECURSIVE " + sql.orders("", """o AS (SELECT key, o_custkey % 64 AS part, cost, row_number() OVER (PARTITION BY o_custkey % 64 ORDER BY key) AS i FROM kv),
+r AS (SELECT part, i, key, cost <= 2000 AS admitted, CASE WHEN cost <= 2000 THEN cost ELSE 0 END AS used FROM o WHERE i = 1
+  UNION ALL SELECT o.part, o.i, o.key, used + cost <= 2000, used + CASE WHEN used + cost <= 2000 THEN cost ELSE 0 END FROM r JOIN o ON o.part = r.part AND o.i = r.i + 1)
+SELECT key, admitted FROM r""").removeprefix("WITH "))
 def admit_noeviction(spark, d):
-    rows = src.order_keyspace(spark, d).withColumn("shard", F.lit(0))
-    return memory.admit_noeviction(rows, 100_000, "key").select("key", "admitted")
+    # Costs differ, so a later insert may fit after one that was refused. Partitions by customer stand in for shards.
+    custs = src.table(spark, d, "orders").select(F.format_string("order:%09d", "o_orderkey").alias("key"), (F.col("o_custkey") % 64).alias("part"))
+    return memory.admit_noeviction(src.order_keyspace(spark, d).join(custs, "key"), 2_000, "part", "key")
 
 
 @query()
@@ -432,10 +527,14 @@ def replay_with_limit(spark, d):
     return memory.replay_with_limit(_log(spark, d), 16_000, 4)
 
 
-@query(sql.orders("SELECT CASE WHEN sum(cost) = 0 THEN 0 ELSE sum(cost) * 1.5 / sum(cost) END::DOUBLE AS ratio FROM kv"))
+@query(sql.orders("""SELECT c, CASE WHEN logical <= 0 OR held <= 0 THEN 0.0::DOUBLE ELSE held / logical END AS ratio FROM (
+  SELECT (o_custkey % 8)::INT AS c, sum(cost)::DOUBLE AS held, coalesce(sum(cost - 160) FILTER (o_custkey % 8 < 6), 0)::DOUBLE AS logical FROM kv GROUP BY 1)"""))
 def safe_ratio(spark, d):
-    total = memory.with_cost(src.order_keyspace(spark, d)).agg(F.sum("size_bytes").alias("b"))
-    return total.select(F.when(F.col("b") == 0, 0.0).otherwise(F.col("b") * 1.5 / F.col("b")).alias("ratio"))
+    # Accounted bytes to bytes of keys and values; groups without any of those have ratio 0.
+    custs = src.table(spark, d, "orders").select(F.format_string("order:%09d", "o_orderkey").alias("key"), (F.col("o_custkey") % 8).cast("int").alias("c"))
+    rows = memory.with_cost(src.order_keyspace(spark, d)).join(custs, "key")
+    logical = F.sum(F.when(F.col("c") < 6, F.col("size_bytes") - memory.ENTRY_OVERHEAD).otherwise(0))
+    return rows.groupBy("c").agg(memory.safe_ratio(F.sum("size_bytes"), logical).alias("ratio"))
 
 
 @query("WITH " + sql.COMMANDS + " SELECT 100.0::DOUBLE * count(*) FILTER (live) / greatest(count(*), 1) AS hit_rate FROM r WHERE op IN ('GET', 'TTL')")
@@ -444,11 +543,18 @@ def hit_rate(spark, d):
     return reads.agg((F.lit(100.0) * F.count_if(F.col("status") == "OK") / F.greatest(F.count("*"), F.lit(1))).alias("hit_rate"))
 
 
-@query(sql.orders("SELECT sum(cost)::BIGINT AS bytes, count(*) AS keys FROM kv"))
+@query("WITH " + sql.COMMANDS + ",\n" + sql.orders("", sql.xxhash("kv", "hx", "key", 15)).removeprefix("WITH ") + """,
+s AS (SELECT h % 16 AS s, count(*) AS k, sum(cost)::BIGINT AS b FROM hx GROUP BY 1)
+SELECT 16::BIGINT AS shards, (SELECT count(*) FROM kv) AS keys, (SELECT count(*) FROM kv WHERE expire_at <> 0) AS keys_with_ttl,
+  (SELECT sum(cost)::BIGINT FROM kv) AS logical_bytes, (SELECT string_agg(k, ',' ORDER BY s) FROM s) AS shard_keys, (SELECT string_agg(b, ',' ORDER BY s) FROM s) AS shard_bytes,
+  (SELECT count(*) FROM r WHERE op = 'GET' AND live) AS hits, (SELECT count(*) FROM r WHERE op = 'GET' AND NOT live) AS misses""")
 def stats_json(spark, d):
-    # The document is written and read again; the invariant is what it holds.
-    doc = store_stats(spark, d).select(F.to_json(F.struct(F.struct("keys", "bytes").alias("store"))).alias("j"))
-    return doc.select(F.from_json("j", "store struct<keys:long,bytes:long>").alias("s")).select("s.store.bytes", "s.store.keys")
+    # The document is written and read again; the rows are what it holds.
+    doc = memory.stats_document(src.order_keyspace(spark, d), commands.results(src.command_log(spark, d)), SHARDS)
+    kind = "shards long, keys long, keys_with_ttl long, logical_bytes long, shard_keys array<long>, shard_bytes array<long>, hits long, misses long"
+    one = doc.select(F.from_json("stats", f"store struct<{kind.replace(' ', ':').replace(',:', ',')}>")["store"].alias("s")).select("s.*")
+    flat = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("shard_keys", "shard_bytes")}
+    return one.withColumns(flat)
 
 
 @query("SELECT (props::JSON->>'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
@@ -482,13 +588,12 @@ def latency_summary(spark, d):
     return histogram.summary(src.latencies(spark, d))
 
 
-@query(sql.latency("""SELECT min(low) FILTER (upto >= ceil(0.5 * n)) AS p50, min(low) FILTER (upto >= ceil(0.9 * n)) AS p90, min(low) FILTER (upto >= ceil(0.99 * n)) AS p99
-  FROM (SELECT *, sum(count) OVER (ORDER BY bucket) AS upto, sum(count) OVER () AS n FROM v)"""))
+@query(sql.latency("""SELECT a.min, min(low) FILTER (upto >= ceil(0.5 * v.n)) AS p50, min(low) FILTER (upto >= ceil(0.9 * v.n)) AS p90, min(low) FILTER (upto >= ceil(0.99 * v.n)) AS p99,
+  min(low) FILTER (upto >= ceil(0.999 * v.n)) AS p999, a.max, a.mean FROM (SELECT *, sum(count) OVER (ORDER BY bucket) AS upto, sum(count) OVER () AS n FROM v) v,
+  (SELECT min(ns) AS min, max(ns) AS max, (sum(ns) // count(*))::BIGINT AS mean FROM lat) a GROUP BY ALL"""))
 def latency_percentile_map(spark, d):
-    q = histogram.quantiles(histogram.build(src.latencies(spark, d)), QS)
-    names = F.create_map(*[F.lit(x) for p in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"), (0.999, "p999")) for x in p])
-    m = q.select(F.map_from_entries(F.array_sort(F.collect_list(F.struct(names[F.col("q")].alias("k"), "ns")).over(Window.partitionBy(F.lit(0))))).alias("m")).limit(1)
-    return m.select(*[F.col("m")[p].alias(p) for p in ("p50", "p90", "p99")])
+    m = histogram.percentiles(src.latencies(spark, d))
+    return m.select(*[F.col("p")[k].alias(k.replace(".", "")) for k in histogram.PERCENTILES])
 
 
 RUNS = "runs AS (SELECT worker AS run, count(*)::DOUBLE / (sum(ns) / 1000000000.0) AS ops FROM lat GROUP BY 1)"
@@ -515,9 +620,27 @@ def run_spread(spark, d):
     return _runs(spark, d).agg(F.min("ops").alias("low"), F.max("ops").alias("high"))
 
 
-@query()
+def _us(ns: str) -> str:
+    """DuckDB SQL for nanoseconds as microseconds with two places, ties up."""
+    return f"((({ns} + 5) // 10) // 100 || '.' || lpad(((({ns} + 5) // 10) % 100)::VARCHAR, 2, '0'))"
+
+
+def _half_up_rate(n: str, ns: str) -> str:
+    """DuckDB SQL for n a second of ns, with one place, ties up, in whole numbers."""
+    tenths = f"((2 * {n}::HUGEINT * 10000000000 + {ns}) // (2 * {ns}::HUGEINT))"
+    return f"({tenths} // 10 || '.' || ({tenths} % 10))"
+
+
+@query(sql.latency(f"""SELECT 0 AS ord, '{",".join(histogram.CSV_COLUMNS)}' AS line UNION ALL
+SELECT 1 + worker::INT, 'run' || worker || ',2024-01-01T00:00:00Z,closed,95/5,uniform,16,1,64,100000,0,' || ops || ',0,' || {_half_up_rate("ops", "total")} || ',' ||
+  {" || ',' || ".join(_us(c) for c in ("lo", "p50", "p90", "p99", "p999", "hi", "mean"))} || ',0,linux,amd64,8' FROM (
+  SELECT worker, count(*) AS ops, sum(ns)::BIGINT AS total, min(ns) AS lo, max(ns) AS hi, (sum(ns) // count(*))::BIGINT AS mean, {", ".join(f"min(low) FILTER (upto >= greatest(1, ceil({q}::DOUBLE * n))) AS p{str(q)[2:].ljust(2, '0')}" for q in (0.5, 0.9, 0.99, 0.999))}
+  FROM (SELECT b.*, CASE WHEN bucket < 64 THEN bucket ELSE (bucket % 64 + 64)::BIGINT << (bucket // 64 - 1) END::BIGINT AS low,
+    count(*) OVER (PARTITION BY worker ORDER BY bucket) AS upto, count(*) OVER (PARTITION BY worker) AS n FROM b) GROUP BY worker)"""))
 def bench_csv(spark, d):
-    return _runs(spark, d).select(F.to_csv(F.struct("run", F.round("ops", 3).alias("ops"))).alias("line"))
+    run = {"timestamp": "2024-01-01T00:00:00Z", "mode": "closed", "workload": "95/5", "distribution": "uniform", "conns": 16, "pipeline": 1, "value_size": 64, "keyspace": 100_000, "client_os": "linux", "client_arch": "amd64", "client_cpus": 8}
+    rows = histogram.csv_rows(src.latencies(spark, d), F.concat(F.lit("run"), "worker"), run, ["worker"])
+    return histogram.csv_header(spark).unionByName(rows.select((F.col("worker") + 1).alias("ord"), "line"))
 
 
 OPEN = """o AS (SELECT event_id AS seq, (epoch_us(ts) // 1000) AS done, (SELECT min((epoch_us(ts) // 1000)) FROM events) + event_id * 60000 AS due FROM events)"""
@@ -632,27 +755,23 @@ def _stream(spark, d) -> DataFrame:
 def stream_replay(spark, d):
     from ..streaming.replay_stream import run_fold
 
-    state = run_fold(spark, _stream(spark, d), "lograil_fold").where("alive")
+    state = run_fold(spark, _stream(spark, d), "fold").where("alive")
     return replay.at_end(state, _log(spark, d)).where(~replay.expired(F.col("now"))).select("key", "value", "expire_at_ms", "last_lsn")
 
 
-def _drain(spark, rows: DataFrame, name: str) -> DataFrame:
-    q = rows.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    if not q.awaitTermination(300):
-        q.stop()
-        raise TimeoutError(name)
-    return spark.table(name)
-
-
 @query(sql.log("SELECT lsn, key, rec_type FROM log"))
 def stream_tail(spark, d):
-    return _drain(spark, _stream(spark, d).select("lsn", "key", "rec_type"), "lograil_tail")
+    from ..streaming.replay_stream import drain
+
+    return drain(spark, _stream(spark, d).select("lsn", "key", "rec_type"), "tail")
 
 
 @query(sql.log("SELECT 'RECORD' AS msg_type, lsn, 1::BIGINT AS epoch, key FROM log WHERE lsn > 100"))
 def stream_publish(spark, d):
+    from ..streaming.replay_stream import drain
+
     messages = _stream(spark, d).where("lsn > 100").select(F.lit("RECORD").alias("msg_type"), "lsn", F.lit(1).cast("long").alias("epoch"), "key")
-    return _drain(spark, messages, "lograil_publish")
+    return drain(spark, messages, "publish")
 
 
 # Scalars.
@@ -664,10 +783,18 @@ def fn_deadline(spark, d):
     return _log(spark, d).select("lsn", commands.deadline(F.col("created_at_ms"), ttl).alias("deadline"))
 
 
-@query(sql.orders("SELECT count(*) AS keys, TRUE AS in_range FROM kv"))
+@query(sql.orders("SELECT key, (h % 16)::INT AS shard, CASE WHEN h >= 9223372036854775808::UHUGEINT THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END::BIGINT AS hash FROM hx", HASHED))
 def fn_shard(spark, d):
-    s = src.order_keyspace(spark, d).select(memory.shard_of(F.col("key"), SHARDS, seed=9).alias("s"))
-    return s.agg(F.count("*").alias("keys"), F.bool_and(F.col("s").between(0, SHARDS - 1)).alias("in_range"))
+    return src.order_keyspace(spark, d).select("key", memory.shard_of(F.col("key"), SHARDS).alias("shard"), F.xxhash64("key").alias("hash"))
+
+
+# xxHash64 of the number 9 in four bytes with seed 42, which a seeded shard hashes the key with.
+_SEEDED = 15594711463369240873
+
+
+@query(sql.orders("SELECT key, (h % 16)::INT AS shard FROM hx", sql.xxhash("kv", "hx", "key", 15, seed=_SEEDED)))
+def fn_shard_seeded(spark, d):
+    return src.order_keyspace(spark, d).select("key", memory.shard_of(F.col("key"), SHARDS, seed=9).alias("shard"))
 
 
 SIZES = "SELECT o_orderkey AS k, (o_orderkey * o_orderkey * 7919 * (1 + o_orderkey % 5))::BIGINT AS n FROM orders"
@@ -747,6 +874,16 @@ def fn_opcode(spark, d):
     return rows.select("name", "code", fn.opcode_name(F.col("code")).alias("back"), fn.fatal_status(F.col("code")).alias("fatal"))
 
 
+_STATUS = ", ".join(f"('{k.lower()}', {v}, '{k}', {v >= 0x80})" for k, v in fn.STATUSES.items())
+
+
+@query(f"SELECT * FROM (VALUES {_STATUS}, ('nope', NULL, 'UNKNOWN', FALSE)) t(name, code, back, fatal)")
+def fn_status(spark, d):
+    rows = spark.range(1).select(F.explode(F.array(*[F.lit(k.lower()) for k in fn.STATUSES], F.lit("nope"))).alias("name"))
+    rows = rows.withColumn("code", fn.status(F.col("name")))
+    return rows.select("name", "code", fn.status_name(F.col("code")).alias("back"), F.coalesce(fn.fatal_status(F.col("code")), F.lit(False)).alias("fatal"))
+
+
 @query("SELECT o_orderkey AS n, CASE WHEN o_orderkey <= 1 THEN 1 ELSE 1::BIGINT << length(bin(o_orderkey - 1)) END::BIGINT AS p FROM orders")
 def fn_next_pow2(spark, d):
     return src.table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), fn.next_power_of_two(F.col("o_orderkey")).alias("p"))
@@ -758,6 +895,31 @@ def fn_workload(spark, d):
     return rows.select("w", fn.workload_reads(F.col("w")).alias("reads"))
 
 
+# One setting in sixteen is changed for each customer; the SQL says which change is an error.
+CHANGES = {
+    "shards": ("12", True), "engine": ("'striped'", True), "fsync": ("'never'", True), "max_memory_policy": ("'lfu'", True), "expiry": ("'eager'", True),
+    "conn_mode": ("'fiber'", True), "role": ("'witness'", True), "replicaof": ("''", False), "evict_sample_k": ("0", True), "low_water_ratio": ("1.5", True),
+    "max_value_len": ("16777217", True), "segment_size": ("4095", True), "workers": ("0", True), "data_dir": ("''", True),
+}
+SETTINGS = {
+    "shards": "16", "engine": "'sharded'", "fsync": "'everysec'", "max_memory_policy": "'allkeys-lru'", "expiry": "'wheel'", "conn_mode": "'pool'", "role": "'primary'",
+    "replicaof": "''", "evict_sample_k": "5", "low_water_ratio": "0.95", "max_value_len": "1048576", "segment_size": "65536", "workers": "4", "data_dir": "'data'",
+}
+
+
+@query("SELECT c_custkey AS k, CASE c_custkey % 16 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, (_, bad)) in enumerate(CHANGES.items()) if bad) + " WHEN 14 THEN 'replicaof' WHEN 15 THEN 'shards' END AS error FROM customer")
+def cfg_validate(spark, d):
+    from ..functions.validation import config_error
+
+    rows = src.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 16).alias("i"))
+    for i, (name, normal) in enumerate(SETTINGS.items()):
+        rows = rows.withColumn(name, F.expr(f"CASE WHEN i = {i} THEN {CHANGES[name][0]} ELSE {normal} END"))
+    # A replica without a primary; and of two errors the first one counts.
+    rows = rows.withColumn("role", F.when(F.col("i") == 14, "replica").otherwise(F.col("role")))
+    rows = rows.withColumn("shards", F.when(F.col("i") == 15, 0).otherwise(F.col("shards"))).withColumn("workers", F.when(F.col("i") == 15, 0).otherwise(F.col("workers")))
+    return rows.select("k", config_error().alias("error"))
+
+
 @query("SELECT * FROM (VALUES ('max-memory', 'KV_MAX_MEMORY'), ('port', 'KV_PORT')) t(flag, env)")
 def fn_env_name(spark, d):
     rows = spark.range(1).select(F.explode(F.array(F.lit("max-memory"), F.lit("port"))).alias("flag"))

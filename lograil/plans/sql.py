@@ -69,3 +69,56 @@ p AS (SELECT *, lag(lead_type) OVER k AS p_lead, lag(dead) OVER k AS p_dead,
         last_value(CASE WHEN op = 'SET' THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v
       FROM g WINDOW k AS (PARTITION BY key ORDER BY lsn)),
 r AS (SELECT *, coalesce(p_lead = 'SET' AND p_dead = 0 AND (d = 0 OR d > tm), FALSE) AS live FROM p)"""
+
+
+M64 = "18446744073709551616::UHUGEINT"
+# Fixed values of the hash: its five primes.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _mul(a: str, b: str) -> str:
+    return f"((({a})::UHUGEINT * ({b})::UHUGEINT) % {M64})"
+
+
+def _add(a: str, b: str) -> str:
+    return f"((({a})::UHUGEINT + ({b})::UHUGEINT) % {M64})"
+
+
+def _rot(a: str, r: int) -> str:
+    return f"({_mul(a, str(1 << r))} + (({a})::UHUGEINT // {1 << (64 - r)}::UHUGEINT))"
+
+
+def xxhash(source: str, out: str, text: str, size: int, seed: int = 42) -> str:
+    """A CTE chain ending in out: source with column h, the 64-bit hash of an ASCII text of size < 32 bytes, by its definition.
+
+    Numbers are 128 bits wide, so a product is exact and is reduced modulo 2^64.
+    """
+    p1, p2, p3, p4, p5 = PRIMES
+    ctes, n, at = [f"{out}0 AS (SELECT *, ({(seed + p5 + size) % (1 << 64)})::UHUGEINT AS h FROM {source})"], 0, 0
+
+    def step(expression: str) -> None:
+        nonlocal n
+        ctes.append(f"{out}{n + 1} AS (SELECT * REPLACE ({expression} AS h) FROM {out}{n})")
+        n += 1
+
+    def word(width: int) -> str:
+        return " + ".join(f"ascii(substr({text}, {at + i + 1}, 1))::UHUGEINT * {1 << 8 * i}::UHUGEINT" for i in range(width))
+
+    while size - at >= 8:
+        step(f"xor(h, {_mul(_rot(_mul(word(8), str(p2)), 31), str(p1))})")
+        step(_add(_mul(_rot("h", 27), str(p1)), str(p4)))
+        at += 8
+    if size - at >= 4:
+        step(f"xor(h, {_mul(word(4), str(p1))})")
+        step(_add(_mul(_rot("h", 23), str(p2)), str(p3)))
+        at += 4
+    while at < size:
+        step(f"xor(h, {_mul(word(1), str(p5))})")
+        step(_mul(_rot("h", 11), str(p1)))
+        at += 1
+    for shift, prime in ((33, p2), (29, p3), (32, None)):
+        step(f"xor(h, h // {1 << shift}::UHUGEINT)")
+        if prime:
+            step(_mul("h", str(prime)))
+    ctes.append(f"{out} AS (SELECT * FROM {out}{n})")
+    return ",\n".join(ctes)

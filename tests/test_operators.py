@@ -53,11 +53,81 @@ def test_append_is_dense(spark, sf_dir):
     assert sorted(out) == list(range(8, 8 + len(out)))
 
 
-def test_fold_plan_has_one_exchange_of_the_log(spark, sf_dir):
+def test_fold_shuffles_partial_results_and_moves_only(spark, sf_dir):
     from lograil.operators.replay import keyspace
 
     plan = keyspace(tables.mutation_log(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(key") == 1
+    below = [p.split("\n")[1] for p in plan.split("Exchange hashpartitioning(key")[1:]]  # what each exchange takes
+    assert below and all("partial_max" in x or "EXPIRE" in x or "signup" in x or "Project" in x for x in below)
+    assert sum("partial_max" in x for x in below) >= 1 and "Window" in plan
+    # Values go through partial aggregation only: no exchange takes rows of the log with them.
+    assert not any("Project" in x and "props" in x for x in below)
+
+
+def test_fold_of_a_hot_key_equals_a_plain_loop(spark):
+    import random
+
+    from lograil.operators.replay import keyspace
+
+    rng, rows = random.Random(3), []
+    for lsn in range(1, 3000):
+        kind = rng.choice(["SET", "EXPIRE", "EXPIRE", "DEL"])
+        key = "hot" if rng.random() < 0.4 else f"k{rng.randrange(60)}"
+        rows.append((lsn, lsn * 10, kind, key, f"v{lsn}" if kind == "SET" else None, 0 if rng.random() < 0.3 else lsn * 10 + rng.randrange(-50, 400)))
+    want, last = {}, {}
+    for lsn, now, kind, key, value, at in rows:
+        last[key] = lsn
+        if key in want and want[key][1] and want[key][1] <= now:
+            del want[key]
+        if kind == "SET":
+            want[key] = (value, at)
+        elif kind == "DEL":
+            want.pop(key, None)
+        elif key in want:
+            want[key] = (want[key][0], at)
+    log = spark.createDataFrame(rows, "lsn long, created_at_ms long, rec_type string, key string, value string, expire_at_ms long").repartition(7)
+    now = rows[-1][1]
+    got = {r.key: (r.value, r.expire_at_ms, r.last_lsn) for r in keyspace(log).collect() if not (r.expire_at_ms and r.expire_at_ms <= now)}
+    assert got == {k: (*v, last[k]) for k, v in want.items() if not (v[1] and v[1] <= now)}
+
+
+def test_sampled_victims():
+    entries = [(f"k{i}", 100, i * 7 % 50, i % 2) for i in range(50)]
+    g = memory.SplitMix(0)
+    assert [g.next() for _ in range(2)] == [0xE220A8397B1DCDAF, 0x6E789E6AA1B965F4]  # known values of the generator
+    gone = memory.sampled_victims(entries, 2500, 5, 1)
+    assert 5000 - 100 * len(gone) <= 2375 < 5000 - 100 * (len(gone) - 1) and len(set(gone)) == len(gone)
+    # With many draws it is the exact order, and the protected key never goes.
+    exact = [e[0] for e in sorted(entries, key=lambda e: e[2])]
+    many = memory.sampled_victims(entries, 2500, 2000, 1)
+    assert [dict((e[0], e[2]) for e in entries)[k] for k in many] == [dict((e[0], e[2]) for e in entries)[k] for k in exact[: len(many)]]
+    assert memory.sampled_victims([("a", 100, 0, 0)], 10, 5, 1, protect="a") == [] and memory.sampled_victims(entries, 5000, 5, 1) == []
+    assert all(int(k[1:]) % 2 for k in memory.sampled_victims(entries, 100, 5, 1, volatile=True))
+    assert len(memory.sampled_victims([(f"k{i}", 1, i, 0) for i in range(500)], 1, 5, 1)) == memory.MAX_VICTIMS
+
+
+def test_whole_store_eviction_equals_the_plain_order(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"k{i:03d}", "v" * rng.randint(0, 50), rng.choice([0, 5]), rng.choice([3, 3, rng.randrange(10**9)])) for i in range(300)]
+    state = spark.createDataFrame(rows, "key string, value string, expire_at_ms long, last_access_ms long")
+    for budget in (0, 20_000, 30_000, 10**9):
+        for volatile in (False, True):
+            used, gone = sum(len(k) + len(v) + 160 for k, v, *_ in rows), set()
+            for k, v, e, at in sorted(rows, key=lambda r: (r[3], r[0])):
+                if used > budget and (e or not volatile):
+                    gone.add(k)
+                    used -= len(k) + len(v) + 160
+            assert {r.key for r in memory.evict_exact_store(state, budget, volatile).where("victim").collect()} == gone
+    assert memory.evict_exact_store(state.limit(0), 5).count() == 0
+
+
+def test_gaps_over_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(wal, "SUPER", 3)
+    lsns = [1, 2, 5, 30, 31, 200, 201, 202, 999]
+    got = wal.gaps(spark.createDataFrame([(x,) for x in lsns], "lsn long"), 10).collect()
+    assert sorted(map(tuple, got)) == [(a, b, b - a - 1) for a, b in zip(lsns, lsns[1:]) if b - a > 1]
 
 
 def test_every_query_runs_and_equals_its_sql(spark, sf_dir):
