@@ -2,11 +2,13 @@
 
 Documents are cut at content-defined anchors: a window's anchor is the smallest hash among its K-word
 sequences, so equal windows have equal anchors wherever they stand. A fragment is a run of windows with one
-anchor at one place, at most WINDOW - K + 1 of them. Anchors are counted over the whole corpus; only fragments whose anchor occurs again are shipped,
-equal fragments meet in one row with their first place, and the distinct ones go to shards by anchor.
-Each shard is a compressed FM-index of its fragments; each fragment is streamed backwards through it, and
-wherever WINDOW words match, the interval of rows gives the first place of that window in the corpus. A
-fragment's later copies repeat it whole.
+anchor at one place, at most WINDOW - K + 1 of them. Anchors are counted over the whole corpus, in buckets: a task
+sends each anchor of a chunk of text once, whatever the number of its places there, so a passage that a third of
+all documents share fills no bucket. Only fragments whose anchor occurs again are cut out. Equal fragments meet
+in one sorted run, which is streamed: copies after the first place repeat it whole, and the first ones go with
+their words to shards by anchor. Each shard is a compressed FM-index of its fragments; each fragment is streamed
+backwards through it, and wherever WINDOW words match, the interval of rows gives the first place of that
+window in the corpus.
 
 Anchors with more than HOT fragments are split further: their fragments go window by window, each to the
 shard of its own hash, so a passage that many documents share in different surroundings fills no shard.
@@ -14,7 +16,9 @@ Only anchors and fragment numbers are 64 and 128-bit hashes; what is compared in
 
 Defined cases: null text has no words; fewer than WINDOW words have no window; a null doc_id comes before
 all others; rows with equal doc_id are the same place at the same start, so neither is earlier there, and are
-told apart by a 64-bit hash of their texts (equal texts lose the same words); an empty table gives no rows. Memory of a task is bounded by a shard (about SHARD_WORDS words) or one document.
+told apart by a 64-bit hash of their texts (equal texts lose the same words); an empty table gives no rows; extra
+columns are ignored. Memory of a task is bounded by a shard (about SHARD_WORDS words), a bucket (about BUCKET
+places), a chunk or one document.
 """
 
 from __future__ import annotations
@@ -32,10 +36,12 @@ from .fm_index import FMIndex
 
 WINDOW, K = 20, 5
 SHARD_WORDS, HOT = 1_000_000, 20_000
-#: Numbers of removed spans up to which their table is broadcast to the documents; beyond, both are shuffled.
-BROADCAST_SPANS = 2_000_000
-#: The same for the table of places of fragments, four bytes each.
-BROADCAST_PLACES = 8_000_000
+#: Places that are looked at together before a task sends their anchors, and places of the corpus for each bucket.
+CHUNK, BUCKET = 500_000, 4_000_000
+#: Fragments whose first place a task remembers, so that it sends their words once.
+SEEN = 400_000
+#: Hot anchors that are sent to all tasks, eight bytes each; beyond, their table is joined.
+HOT_SENT = 500_000
 _FIRST = -(1 << 63)
 
 
@@ -86,10 +92,94 @@ def _encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _anchors(batches):
-    for pdf in batches:
-        f = fragments(pdf["text"].tolist())
-        yield pd.DataFrame({"anchor": f.anchor.view(np.int64), "doc_id": pdf["doc_id"].to_numpy(np.int64)[f.doc], "content": pdf["content"].to_numpy(np.int64)[f.doc], "place": f.place.astype(np.int32)})
+def _short(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An anchor's bucket, and the rest that tells it from others there."""
+    return ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), anchor.astype(np.uint32)
+
+
+def _name(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    bucket, rest = _short(anchor, buckets)
+    return bucket << 32 | rest.astype(np.int64)
+
+
+PLACES = "bucket int, rest binary, doc_id binary, content binary, place binary, count binary"
+
+
+def _places(buckets: int):
+    """For each chunk and bucket, its anchors; one that has several places in the chunk is sent without them, with their number.
+
+    Those places, which surely recur, go past the buckets: bucket is negative.
+    """
+
+    def sent(doc_id, content, anchor, place) -> list[tuple]:
+        by = np.argsort(anchor, kind="stable")
+        a = anchor[by]
+        new = np.concatenate(([True], a[1:] != a[:-1]))
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(a)))
+        many = np.repeat(count > 1, count)
+        out = []
+        again = np.sort(by[many])
+        if len(again):
+            out.append((-1 - int(abs(int(doc_id[again[0]])) % buckets), None, doc_id[again].tobytes(), content[again].tobytes(), place[again].tobytes(), None))
+        one = by[first]
+        at = np.where(count > 1, np.int32(-1), place[one])
+        bucket, rest = _short(anchor[one], buckets)
+        order = np.lexsort((one, bucket))  # in the order of documents, which packs well
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        one, rest, at, count = one[order], rest[order], at[order], count[order].astype(np.int32)
+        who, what = np.where(at < 0, 0, doc_id[one]), np.where(at < 0, 0, content[one])
+        for b, (x, y) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            if x < y:
+                out.append((b, *(v[x:y].tobytes() for v in (rest, who, what, at, count))))
+        return out
+
+    def run(batches):
+        held, size = [], 0
+        names = [c.split()[0] for c in PLACES.split(", ")]
+
+        def frame():
+            rows = sent(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            return pd.DataFrame(rows, columns=names).astype({"bucket": "int32"})
+
+        for pdf in batches:
+            f = fragments(pdf["text"].tolist())
+            if len(f.doc):
+                held.append((pdf["doc_id"].to_numpy(np.int64)[f.doc], pdf["content"].to_numpy(np.int64)[f.doc], f.anchor, f.place.astype(np.int32)))
+                size += len(f.doc)
+            if size >= CHUNK:
+                yield frame()
+                size = 0
+        if held:
+            yield frame()
+
+    return run
+
+
+WANTED = "doc_id long, content long, places binary, hot long"
+
+
+def _recurring(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: the places of anchors that occur again, by document, and the names of hot anchors."""
+    bucket = int(pdf["bucket"].iloc[0])
+    doc_id, content = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("doc_id", "content"))
+    place, hot = np.frombuffer(b"".join(pdf["place"]), np.int32), np.empty(0, np.int64)
+    if bucket >= 0:
+        rest, count = np.frombuffer(b"".join(pdf["rest"]), np.uint32), np.frombuffer(b"".join(pdf["count"]), np.int32)
+        kinds, at = np.unique(rest, return_inverse=True)
+        total = np.bincount(at, count, minlength=len(kinds))
+        hot = kinds[total > HOT].astype(np.int64) | bucket << 32
+        keep = (total[at] > 1) & (place >= 0)
+        doc_id, content, place = doc_id[keep], content[keep], place[keep]
+    by = np.lexsort((place, content, doc_id))
+    doc_id, content, place = doc_id[by], content[by], place[by]
+    first = np.flatnonzero(np.concatenate(([True], (doc_id[1:] != doc_id[:-1]) | (content[1:] != content[:-1])))[: len(by)])
+    ends = [*first[1:].tolist(), len(by)]
+    rows = [(int(doc_id[x]), int(content[x]), place[x:y].tobytes(), None) for x, y in zip(first.tolist(), ends)]
+    rows += [(None, None, None, h) for h in hot.tolist()]
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in WANTED.split(", ")])
+    return out.astype({"doc_id": "Int64", "content": "Int64", "hot": "Int64"})
 
 
 #: Odd multipliers of the two halves of a fragment's number, and their inverses modulo 2^64.
@@ -106,44 +196,86 @@ def _numbers(h: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarr
     return mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
 
 
-def _cut(with_text: bool):
-    """Fragments at the given places of each document: their numbers, where they start, and their words."""
+CUT = "f1 long, f2 long, doc_id long, content long, start int, windows int, anchor long, words string"
+
+
+def _cut(buckets: int):
+    """The fragments at the given places; words only where a task has met no earlier place of the fragment."""
 
     def run(batches):
+        least: dict[int, tuple[int, int]] = {}
         for pdf in batches:
             f = fragments(pdf["text"].tolist())
             wide = int(f.place.max(initial=-1)) + 1
-            here = f.doc * wide + f.place
-            of = lambda column: np.concatenate([np.empty(0, np.int64), *(i * wide + np.asarray(p, np.int64)[np.asarray(p) < wide] for i, p in enumerate(pdf[column]) if len(p))])
-            pick = np.flatnonzero(np.isin(here, of("places")))
+            asked = [i * wide + p[p < wide] for i, parts in enumerate(pdf["places"]) for p in (np.frombuffer(b"".join(parts), np.int32).astype(np.int64),)]
+            pick = np.flatnonzero(np.isin(f.doc * wide + f.place, np.concatenate(asked) if asked else []))
             a, b = f.word[pick], f.word[pick] + f.windows[pick] + WINDOW - 1
-            out = {
-                "f1": _numbers(f.h, a, b, _BASES[0]).view(np.int64), "f2": _numbers(mix(f.h), a, b, _BASES[1]).view(np.int64),
-                "doc_id": pdf["doc_id"].to_numpy(np.int64)[f.doc[pick]], "start": f.start[pick].astype(np.int32), "windows": f.windows[pick].astype(np.int32),
-            }
-            if with_text:
-                cuts = zip(f.begin[a].tolist(), f.end[b - 1].tolist())
-                words = [f.raw[x:y].decode("utf-8", "surrogatepass") for x, y in cuts]
-                out |= {"anchor": f.anchor[pick].view(np.int64), "hot": np.isin(here[pick], of("hot")), "words": pd.Series(words, dtype=object)}
-            else:
-                out["content"] = pdf["content"].to_numpy(np.int64)[f.doc[pick]]
-            yield pd.DataFrame(out)
+            f1, doc_id, start = _numbers(f.h, a, b, _BASES[0]).view(np.int64), pdf["doc_id"].to_numpy(np.int64)[f.doc[pick]], f.start[pick]
+            words: list[str | None] = [None] * len(pick)
+            cuts = zip(f1.tolist(), doc_id.tolist(), start.tolist(), f.begin[a].tolist(), f.end[b - 1].tolist())
+            for i, (number, doc, at, x, y) in enumerate(cuts):
+                old = least.get(number)
+                if old is None or (doc, at) < old:
+                    least[number] = doc, at
+                    words[i] = f.raw[x:y].decode("utf-8", "surrogatepass")
+            if len(least) > SEEN:
+                least.clear()
+            yield pd.DataFrame({
+                "f1": f1, "f2": _numbers(mix(f.h), a, b, _BASES[1]).view(np.int64), "doc_id": doc_id, "content": pdf["content"].to_numpy(np.int64)[f.doc[pick]],
+                "start": start.astype(np.int32), "windows": f.windows[pick].astype(np.int32), "anchor": _name(f.anchor[pick], buckets), "words": pd.Series(words, dtype=object),
+            })
 
     return run
 
 
-def _split_hot(batches):
-    """Rows for the shards: a fragment, or each window of a hot one by its own hash."""
-    for pdf in batches:
-        rows = []
-        for f1, f2, doc_id, start, windows, anchor, hot, words in pdf[["f1", "f2", "doc_id", "start", "windows", "anchor", "hot", "words"]].itertuples(index=False):
-            if not hot:
-                rows.append((f1, f2, doc_id, start, 0, anchor, words))
+ROUTED = "shard int, doc_id long, content long, start int, windows int, skip int, words string"
+_ROUTED = [c.split()[0] for c in ROUTED.split(", ")]
+
+
+def _route(shards: int, hot: np.ndarray | None):
+    """Rows sorted by fragment and place: each first place goes to a shard with its words, copies to a negative one without.
+
+    Rows of one doc_id that have the fragment at the same first place are first places each. Fragments of hot
+    anchors go window by window, by the windows' hashes. hot None: a column says which anchors are.
+    """
+
+    def run(batches):
+        rep = None  # the last fragment's number, first place, text hash and words
+        for pdf in batches:
+            if not len(pdf):
                 continue
-            parts = _encode(words).split()
-            key = grams(word_hashes(_encode(words)), WINDOW).view(np.int64)
-            rows += [(f1, f2, doc_id, start, j, int(key[j]), b" ".join(parts[j : j + WINDOW]).decode("utf-8", "surrogatepass")) for j in range(windows)]
-        yield pd.DataFrame(rows, columns=["f1", "f2", "doc_id", "start", "skip", "route", "words"]).astype({"skip": "int32"})
+            f1, f2, doc_id, content, start, windows = (pdf[c].to_numpy(np.int64) for c in ("f1", "f2", "doc_id", "content", "start", "windows"))
+            is_hot = np.isin(pdf["anchor"].to_numpy(np.int64), hot) if hot is not None else pdf["hot"].to_numpy(bool)
+            words, anchor = pdf["words"].tolist(), pdf["anchor"].to_numpy(np.int64)
+            copies = np.zeros(len(pdf), bool)
+            rows: list[tuple] = []
+            number = list(zip(f1.tolist(), f2.tolist()))
+            for i, (n, d, c, at) in enumerate(zip(number, doc_id.tolist(), content.tolist(), start.tolist())):
+                if rep is None or n != rep[0]:
+                    rep = (n, (d, at), c, words[i])
+                elif (d, at) != rep[1]:
+                    copies[i] = True
+                    continue
+                elif c == rep[2]:
+                    continue  # an equal row
+                else:
+                    rep = (n, rep[1], c, rep[3])
+                if not is_hot[i]:
+                    rows.append((int(mix(anchor[i : i + 1].view(np.uint64))[0] % np.uint64(shards)), d, c, at, int(windows[i]), 0, rep[3]))
+                    continue
+                raw = _encode(rep[3])
+                parts = raw.split()
+                to = (grams(word_hashes(raw), WINDOW) % np.uint64(shards)).tolist()
+                rows += [(to[j], d, c, at, 1, j, b" ".join(parts[j : j + WINDOW]).decode("utf-8", "surrogatepass")) for j in range(int(windows[i]))]
+            kinds = {"shard": "int32", "start": "int32", "windows": "int32", "skip": "int32", "doc_id": "int64", "content": "int64"}
+            yield pd.DataFrame(rows, columns=_ROUTED).astype(kinds)
+            at = np.flatnonzero(copies)
+            yield pd.DataFrame({
+                "shard": (-1 - (mix((doc_id[at] ^ content[at]).view(np.uint64)) % np.uint64(shards)).astype(np.int64)).astype(np.int32), "doc_id": doc_id[at], "content": content[at],
+                "start": start[at].astype(np.int32), "windows": windows[at].astype(np.int32), "skip": np.zeros(len(at), np.int32), "words": pd.Series([None] * len(at), dtype=object),
+            })
+
+    return run
 
 
 def search_shard(doc: np.ndarray, start: np.ndarray, texts: list[list]) -> list[np.ndarray]:
@@ -176,70 +308,61 @@ def search_shard(doc: np.ndarray, start: np.ndarray, texts: list[list]) -> list[
     return np.split(at[by], np.searchsorted(who[by], np.arange(1, len(coded))))
 
 
+BEGINS = "doc_id long, content long, begins binary"
+
+
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["f1", "f2", "skip"])
+    """Where the removed windows begin: all of a copy's, and those of a first place that the shard has earlier."""
     start = (pdf["start"] + pdf["skip"]).to_numpy(np.int64)
+    if pdf["shard"].iloc[0] < 0:
+        doc_id, content, n = (pdf[c].to_numpy(np.int64) for c in ("doc_id", "content", "windows"))
+        by = np.lexsort((content, doc_id))
+        doc_id, content, n, start = doc_id[by], content[by], n[by], start[by]
+        before = np.cumsum(n) - n
+        begins = (np.repeat(start - before, n) + np.arange(n.sum())).astype(np.int32)
+        new = np.concatenate(([True], (doc_id[1:] != doc_id[:-1]) | (content[1:] != content[:-1])))
+        cuts = np.append(before[new], n.sum()).tolist()
+        return pd.DataFrame({"doc_id": doc_id[new], "content": content[new], "begins": [begins[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]})
+    by = np.lexsort((pdf["content"], start, pdf["doc_id"]))
+    pdf, start = pdf.iloc[by], start[by]
     found = search_shard(pdf["doc_id"].to_numpy(np.int64), start, [_encode(t).split() for t in pdf["words"]])
     keep = np.array([len(x) > 0 for x in found])
-    out = pdf[keep][["f1", "f2"]].copy()
-    offsets = [(x + skip).astype(np.int32) for x, skip in zip(found, pdf["skip"]) if len(x)]
-    out["offsets"] = pd.Series(offsets, index=out.index, dtype=object)
-    return out
+    out = pdf[keep][["doc_id", "content"]].copy()
+    begins = [(x + s).astype(np.int32).tobytes() for x, s in zip(found, start) if len(x)]
+    return out.assign(begins=pd.Series(begins, index=out.index, dtype=object))
 
 
 def _merge(batches):
-    """Spans of removed words of each document, from its fragments."""
+    """Spans of removed words of each document, from where its removed windows begin."""
     for pdf in batches:
         out = []
-        for doc_id, content, parts in zip(pdf["doc_id"], pdf["content"], pdf["parts"]):
-            spans: list[list[int]] = []
-            begins = sorted({int(p["start"]) + int(o) for p in parts for o in (range(p["windows"]) if p["offsets"] is None else p["offsets"])})
-            for b in begins:
-                if spans and b <= spans[-1][1]:
-                    spans[-1][1] = b + WINDOW
-                else:
-                    spans.append([b, b + WINDOW])
-            out.append((doc_id, content, [x for s in spans for x in s]))
-        yield pd.DataFrame(out, columns=["doc_id", "content", "spans"]).astype({"doc_id": "int64", "content": "int64", "spans": "object"})
-
-
-def _repeated_places(docs: DataFrame) -> DataFrame:
-    """doc_id, content, places of fragments whose anchor occurs again, and those of them whose anchor is hot."""
-    anchors = docs.mapInPandas(_anchors, "anchor long, doc_id long, content long, place int")
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = anchors.join(again, "anchor").select("doc_id", "content", "place", (F.col("n") > HOT).alias("hot"))
-    return wanted.groupBy("doc_id", "content").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"))
+        for parts in pdf["parts"]:
+            b = np.unique(np.frombuffer(b"".join(parts), np.int32))
+            new = np.flatnonzero(np.diff(b) > WINDOW) + 1
+            out.append(np.column_stack((b[np.append(0, new)], b[np.append(new - 1, len(b) - 1)] + WINDOW)).ravel().astype(np.int32))
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "content": pdf["content"], "spans": out})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs(doc_id not null, content, text) -> doc_id, content, spans array<int> (starts and ends of removed words) where there are any."""
     spark = docs.sparkSession
     small_batches(spark)
-    wanted = checkpointed(_repeated_places(docs))
-    release(docs)
-    total = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
-    shards = max(1, -(-total * (WINDOW + 8) // SHARD_WORDS))
-    chosen = docs.join(F.broadcast(wanted) if total <= BROADCAST_PLACES else wanted, ["doc_id", "content"]).select("doc_id", "content", "text", "places", "hot")
-    occurs = chosen.mapInPandas(_cut(False), "f1 long, f2 long, doc_id long, start int, windows int, content long")
-    cut = chosen.mapInPandas(_cut(True), "f1 long, f2 long, doc_id long, start int, windows int, anchor long, hot boolean, words string")
-    distinct = cut.groupBy("f1", "f2").agg(
-        F.min(F.struct("doc_id", "start")).alias("at"), F.first("windows").alias("windows"), F.first("anchor").alias("anchor"),
-        F.max("hot").alias("hot"), F.first("words").alias("words"),
-    )
-    distinct = distinct.select("f1", "f2", "at.doc_id", "at.start", "windows", "anchor", "hot", "words")
-    routed = distinct.mapInPandas(_split_hot, "f1 long, f2 long, doc_id long, start int, skip int, route long, words string")
-    routed = routed.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    found = routed.groupBy("shard").applyInPandas(_shard, "f1 long, f2 long, offsets array<int>")
-    found = checkpointed(found.groupBy("f1", "f2").agg(F.flatten(F.collect_list("offsets")).alias("offsets")))
-    release(docs)
-
-    firsts = occurs.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n"))
-    firsts = firsts.join(found, ["f1", "f2"], "left").where("n > 1 or offsets is not null")
-    hits = occurs.join(firsts, ["f1", "f2"]).select(
-        "doc_id", "content", "start", "windows",
-        F.when((F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.start") == F.col("start")), F.coalesce("offsets", F.array().cast("array<int>"))).alias("offsets"),
-    )
-    parts = hits.where("offsets is null or size(offsets) > 0").groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "windows", "offsets")).alias("parts"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions, total // (BUCKET * 50) + 1)  # a place for each 50 bytes, about
+    dealt = docs.mapInPandas(_places(buckets), PLACES)
+    found = checkpointed(dealt.groupBy("bucket").applyInPandas(_recurring, WANTED))
+    places, hot = found.where("places is not null"), found.where("hot is not null").select("hot").distinct()
+    shards = max(1, -(-(places.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // 4 * (WINDOW + 8) // SHARD_WORDS))
+    wanted = places.groupBy("doc_id", "content").agg(F.collect_list("places").alias("places"))
+    cut = docs.join(wanted, ["doc_id", "content"]).select("doc_id", "content", "text", "places").mapInPandas(_cut(buckets), CUT)
+    few = hot.limit(HOT_SENT + 1).toPandas()["hot"].to_numpy(np.int64)
+    if len(few) > HOT_SENT:
+        few, cut = None, cut.join(hot.select(F.col("hot").alias("anchor"), F.lit(True).alias("hot")), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    place = ["f1", "f2", "doc_id", "start", F.col("words").isNull(), "content"]
+    routed = cut.repartition(partitions, "f1", "f2").sortWithinPartitions(*place).mapInPandas(_route(shards, few), ROUTED)
+    begins = routed.groupBy("shard").applyInPandas(_shard, BEGINS)
+    parts = begins.groupBy("doc_id", "content").agg(F.collect_list("begins").alias("parts"))
     return checkpointed(parts.mapInPandas(_merge, "doc_id long, content long, spans array<int>"))
 
 
@@ -251,8 +374,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     spans = repeated_spans(docs)
-    size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    both = docs.join(F.broadcast(spans) if size <= BROADCAST_SPANS else spans, ["doc_id", "content"], "left")
+    release(docs)
+    both = docs.join(spans, ["doc_id", "content"], "left")
 
     def run(batches):
         for pdf in batches:

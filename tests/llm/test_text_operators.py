@@ -61,12 +61,12 @@ def test_substrings(docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
-def test_hot_anchors_give_the_same(docs, monkeypatch):
+@pytest.mark.parametrize("change", [{"HOT": 1}, {"HOT": 1, "HOT_SENT": 0}, {"CHUNK": 40, "SEEN": 3}, {"SHARD_WORDS": 300, "BUCKET": 5, "HOT": 3, "CHUNK": 1}])
+def test_substrings_by_other_ways_give_the_same(docs, monkeypatch, change):
     plain = sorted(map(str, substrings.remove_repeats(docs).collect()))
-    monkeypatch.setattr(substrings, "HOT", 1)
-    monkeypatch.setattr(substrings, "BROADCAST_SPANS", 0)
-    monkeypatch.setattr(substrings, "BROADCAST_PLACES", 0)
-    assert sorted(map(str, substrings.remove_repeats(docs).collect())) == plain
+    for name, value in change.items():
+        monkeypatch.setattr(substrings, name, value)
+    assert sorted(map(str, substrings.remove_repeats(docs.repartition(5)).collect())) == plain
 
 
 def test_substrings_of_rows_without_a_doc_id_of_their_own(spark):
