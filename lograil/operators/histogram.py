@@ -90,3 +90,18 @@ def csv_rows(samples: DataFrame, label: Column, run: dict, by: list[str]) -> Dat
     }
     column = lambda c: (made[c] if c in made else F.lit(run[c])).cast("string").alias(c)
     return percentiles(samples, by).select(*by, F.to_csv(F.struct(*[column(c) for c in CSV_COLUMNS])).alias("line"))
+
+
+def bars(histogram: DataFrame, width: int) -> DataFrame:
+    """ord, line: filled buckets in order, at most some 20 to 39 rows, each a bar in proportion to the fullest bucket."""
+    from ..functions.scalars import format_duration
+
+    everything = Window.partitionBy(F.lit(0))  # 4096 buckets at most
+    rows = histogram.withColumns({"i": F.row_number().over(everything.orderBy("bucket")) - 1, "n": F.count("*").over(everything), "peak": F.max("count").over(everything)})
+    step = F.when(F.col("n") > 20, F.floor(F.col("n") / 20)).otherwise(1)
+    rows = rows.groupBy(F.floor(F.col("i") / step).alias("ord")).agg(F.min("bucket").alias("b"), F.sum("count").alias("c"), F.first("peak").alias("peak"))
+    bar = F.repeat(F.lit("#"), F.floor(F.col("c") / F.col("peak") * width).cast("int"))
+    padded = F.when(F.length(bar) < width, F.rpad(bar, width, " ")).otherwise(bar)
+    label = format_duration(lower_bound(F.col("b")))
+    label = F.when(F.length(label) < 10, F.lpad(label, 10, " ")).otherwise(label)
+    return rows.select("ord", F.concat(F.lit("  "), label, F.lit(" |"), padded, F.lit(" "), F.col("c").cast("string")).alias("line"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import commands, histogram, memory, replay, replication, wal
+from ..operators import commands, generate, histogram, memory, replay, replication, wal
 from ..sources import tables as src
 from . import sql
 
@@ -853,6 +853,17 @@ def fn_fmt_dur(spark, d):
     return e.select("event_id", fn.format_duration(ns).alias("s"))
 
 
+_FMT = f"""CASE WHEN n < 1000 THEN n || 'ns' WHEN n < 1000000 THEN {_half_up(10**3, 1)} || 'us' WHEN n < 1000000000 THEN {_half_up(10**6, 2)} || 'ms' ELSE {_half_up(10**9, 2)} || 's' END"""
+
+
+@query(sql.latency(f"""SELECT ord, '  ' || lpad({_FMT}, 10, ' ') || ' |' || CASE WHEN w < 40 THEN rpad(repeat('#', w), 40, ' ') ELSE repeat('#', w) END || ' ' || c AS line FROM (
+  SELECT i // step AS ord, min(low) AS n, sum(count)::BIGINT AS c, floor(sum(count)::DOUBLE / any_value(peak) * 40)::INT AS w FROM (
+    SELECT *, CASE WHEN total > 20 THEN total // 20 ELSE 1 END AS step FROM (
+      SELECT *, row_number() OVER (ORDER BY bucket) - 1 AS i, count(*) OVER () AS total, max(count) OVER () AS peak FROM v)) GROUP BY 1)"""))
+def latency_bars(spark, d):
+    return histogram.bars(histogram.build(src.latencies(spark, d)), 40)
+
+
 @query(sql.log("SELECT lsn, lpad(lsn::VARCHAR, 16, '0') || '.log' AS name FROM log"))
 def fn_segment_name(spark, d):
     return _log(spark, d).select("lsn", fn.segment_name(F.col("lsn")).alias("name"))
@@ -930,3 +941,13 @@ def fn_env_name(spark, d):
 def gen_keys(spark, d):
     letter = F.char(F.lit(97) + F.col("id") % 26)
     return spark.range(1000).select(F.format_string("bench:key:%09d", "id").alias("key"), F.repeat(letter, F.lit(8)).alias("value"))
+
+
+@query("SELECT printf('bench:key:%09d', i) AS key, repeat('abcdefghijklmnopqrstuvwxyz', 2) || 'abcdefghijkl' AS value FROM range(20000) t(i)")
+def gen_preload(spark, d):
+    return generate.preload(spark, 20_000, 64)
+
+
+@query()
+def gen_zipf(spark, d):
+    return generate.operations(spark, 100_000, 10_000, 0.95, zipf_s=1.01).groupBy("key", "op").agg(F.count("*").alias("n"))

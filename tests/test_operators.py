@@ -130,6 +130,21 @@ def test_gaps_over_several_levels(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [(a, b, b - a - 1) for a, b in zip(lsns, lsns[1:]) if b - a > 1]
 
 
+def test_generated_operations(spark):
+    import numpy as np
+
+    from lograil.operators import generate
+
+    for s in (None, 1.2):
+        ops = generate.operations(spark, 40_000, 50, 0.9, seed=5, zipf_s=s)
+        rows = ops.collect()
+        assert rows == ops.repartition(3).orderBy("seq").collect() and abs(np.mean([r.op == "GET" for r in rows]) - 0.9) < 0.01
+        seen = np.bincount([int(r.key[-9:]) for r in rows], minlength=50)
+        share = (1.0 + np.arange(50)) ** -(s or 0)
+        want = 40_000 * share / share.sum()
+        assert ((seen - want) ** 2 / want).sum() < 90  # 49 degrees of freedom
+
+
 def test_every_query_runs_and_equals_its_sql(spark, sf_dir):
     import duckdb
 
