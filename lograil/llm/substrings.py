@@ -4,9 +4,9 @@ Documents are cut at content-defined anchors: a window's anchor is the smallest
 sequences, so equal windows have equal anchors wherever they stand. A fragment is a run of windows with one
 anchor at one place, at most WINDOW - K + 1 of them. Anchors are counted over the whole corpus, in buckets: a task
 sends each anchor of a chunk of text once, whatever the number of its places there, so a passage that a third of
-all documents share fills no bucket. Only fragments whose anchor occurs again are cut out. Equal fragments meet
-in one sorted run, which is streamed: copies after the first place repeat it whole, and the first ones go with
-their words to shards by anchor. Each shard is a compressed FM-index of its fragments; each fragment is streamed
+all documents share fills no bucket. Only fragments whose anchor occurs again are cut out. A task that has met
+an earlier place of a fragment marks it as a copy, which repeats it whole; the others meet in one sorted run,
+which is streamed, and the first one of each goes with its words to a shard by anchor. Each shard is a compressed FM-index of its fragments; each fragment is streamed
 backwards through it, and wherever WINDOW words match, the interval of rows gives the first place of that
 window in the corpus.
 
@@ -28,8 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, grams, hashed_words, mix, read, release, small_batches, word_hashes
 from .fm_index import FMIndex
@@ -38,7 +40,7 @@ WINDOW, K = 20, 5
 SHARD_WORDS, HOT = 1_000_000, 20_000
 #: Places that are looked at together before a task sends their anchors, and places of the corpus for each bucket.
 CHUNK, BUCKET = 500_000, 4_000_000
-#: Fragments whose first place a task remembers, so that it sends their words once.
+#: Fragments whose first place a task remembers, so that it knows later ones as copies.
 SEEN = 400_000
 #: Hot anchors that are sent to all tasks, eight bytes each; beyond, their table is joined.
 HOT_SENT = 500_000
@@ -157,29 +159,43 @@ def _places(buckets: int):
     return run
 
 
-WANTED = "doc_id long, content long, places binary, hot long"
+FOUND = "dest int, doc_id binary, content binary, place binary, hot long"
 
 
-def _recurring(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the places of anchors that occur again, by document, and the names of hot anchors."""
-    bucket = int(pdf["bucket"].iloc[0])
+def _recurring(buckets: int):
+    """Of one bucket: the places of anchors that occur again, dealt by document, and the names of hot anchors."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        doc_id, content = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("doc_id", "content"))
+        place, hot = np.frombuffer(b"".join(pdf["place"]), np.int32), np.empty(0, np.int64)
+        if bucket >= 0:
+            rest, count = np.frombuffer(b"".join(pdf["rest"]), np.uint32), np.frombuffer(b"".join(pdf["count"]), np.int32)
+            kinds, at = np.unique(rest, return_inverse=True)
+            total = np.bincount(at, count, minlength=len(kinds))
+            hot = kinds[total > HOT].astype(np.int64) | bucket << 32
+            keep = (total[at] > 1) & (place >= 0)
+            doc_id, content, place = doc_id[keep], content[keep], place[keep]
+        dest = (mix((doc_id ^ content).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((place, content, doc_id, dest))
+        doc_id, content, place, dest = doc_id[by], content[by], place[by], dest[by]
+        first = np.flatnonzero(np.concatenate(([True], dest[1:] != dest[:-1]))[: len(dest)]).tolist()
+        rows = [(int(dest[x]), doc_id[x:y].tobytes(), content[x:y].tobytes(), place[x:y].tobytes(), None) for x, y in zip(first, [*first[1:], len(dest)])]
+        rows += [(None, None, None, None, h) for h in hot.tolist()]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"dest": "Int32", "hot": "Int64"})
+
+    return run
+
+
+def _wanted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the documents of one number: the places of each."""
     doc_id, content = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("doc_id", "content"))
-    place, hot = np.frombuffer(b"".join(pdf["place"]), np.int32), np.empty(0, np.int64)
-    if bucket >= 0:
-        rest, count = np.frombuffer(b"".join(pdf["rest"]), np.uint32), np.frombuffer(b"".join(pdf["count"]), np.int32)
-        kinds, at = np.unique(rest, return_inverse=True)
-        total = np.bincount(at, count, minlength=len(kinds))
-        hot = kinds[total > HOT].astype(np.int64) | bucket << 32
-        keep = (total[at] > 1) & (place >= 0)
-        doc_id, content, place = doc_id[keep], content[keep], place[keep]
+    place = np.frombuffer(b"".join(pdf["place"]), np.int32)
     by = np.lexsort((place, content, doc_id))
     doc_id, content, place = doc_id[by], content[by], place[by]
     first = np.flatnonzero(np.concatenate(([True], (doc_id[1:] != doc_id[:-1]) | (content[1:] != content[:-1])))[: len(by)])
-    ends = [*first[1:].tolist(), len(by)]
-    rows = [(int(doc_id[x]), int(content[x]), place[x:y].tobytes(), None) for x, y in zip(first.tolist(), ends)]
-    rows += [(None, None, None, h) for h in hot.tolist()]
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in WANTED.split(", ")])
-    return out.astype({"doc_id": "Int64", "content": "Int64", "hot": "Int64"})
+    places = [place[x:y].tobytes() for x, y in zip(first.tolist(), [*first[1:].tolist(), len(by)])]
+    return pd.DataFrame({"doc_id": doc_id[first], "content": content[first], "places": pd.Series(places, dtype=object)})
 
 
 #: Odd multipliers of the two halves of a fragment's number, and their inverses modulo 2^64.
@@ -196,84 +212,112 @@ def _numbers(h: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarr
     return mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
 
 
-CUT = "f1 long, f2 long, doc_id long, content long, start int, windows int, anchor long, words string"
+CUT = "f1 long, f2 long, doc_id long, content long, start int, windows int, anchor long, words string, copies binary"
+_CUT = [c.split()[0] for c in CUT.split(", ")]
 
 
 def _cut(buckets: int):
-    """The fragments at the given places; words only where a task has met no earlier place of the fragment."""
+    """The fragments at the given places with their words, or as copies where the task has met an earlier place.
+
+    The copies of a document are one row of starts and numbers of windows, under a number of the document's own.
+    """
 
     def run(batches):
-        least: dict[int, tuple[int, int]] = {}
+        least: dict[tuple[int, int], tuple[int, int]] = {}
         for pdf in batches:
-            f = fragments(pdf["text"].tolist())
+            f = fragments(list(map(_unpack, pdf["packed"])))
             wide = int(f.place.max(initial=-1)) + 1
-            asked = [i * wide + p[p < wide] for i, parts in enumerate(pdf["places"]) for p in (np.frombuffer(b"".join(parts), np.int32).astype(np.int64),)]
+            asked = [i * wide + p[p < wide] for i, parts in enumerate(pdf["places"]) for p in (np.frombuffer(parts, np.int32).astype(np.int64),)]
             pick = np.flatnonzero(np.isin(f.doc * wide + f.place, np.concatenate(asked) if asked else []))
             a, b = f.word[pick], f.word[pick] + f.windows[pick] + WINDOW - 1
-            f1, doc_id, start = _numbers(f.h, a, b, _BASES[0]).view(np.int64), pdf["doc_id"].to_numpy(np.int64)[f.doc[pick]], f.start[pick]
-            words: list[str | None] = [None] * len(pick)
-            cuts = zip(f1.tolist(), doc_id.tolist(), start.tolist(), f.begin[a].tolist(), f.end[b - 1].tolist())
-            for i, (number, doc, at, x, y) in enumerate(cuts):
+            f1, f2 = _numbers(f.h, a, b, _BASES[0]).view(np.int64), _numbers(mix(f.h), a, b, _BASES[1]).view(np.int64)
+            doc_id, content, start = pdf["doc_id"].to_numpy(np.int64)[f.doc[pick]], pdf["content"].to_numpy(np.int64)[f.doc[pick]], f.start[pick]
+            copy = np.zeros(len(pick), bool)
+            for i, (number, place) in enumerate(zip(zip(f1.tolist(), f2.tolist()), zip(doc_id.tolist(), start.tolist()))):
                 old = least.get(number)
-                if old is None or (doc, at) < old:
-                    least[number] = doc, at
-                    words[i] = f.raw[x:y].decode("utf-8", "surrogatepass")
+                if old is None or place < old:
+                    least[number] = place
+                elif place > old:
+                    copy[i] = True
             if len(least) > SEEN:
                 least.clear()
+            kept = np.flatnonzero(~copy)
+            words = [f.raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(f.begin[a[kept]].tolist(), f.end[b[kept] - 1].tolist())]
             yield pd.DataFrame({
-                "f1": f1, "f2": _numbers(mix(f.h), a, b, _BASES[1]).view(np.int64), "doc_id": doc_id, "content": pdf["content"].to_numpy(np.int64)[f.doc[pick]],
-                "start": start.astype(np.int32), "windows": f.windows[pick].astype(np.int32), "anchor": _name(f.anchor[pick], buckets), "words": pd.Series(words, dtype=object),
+                "f1": f1[kept], "f2": f2[kept], "doc_id": doc_id[kept], "content": content[kept], "start": start[kept].astype(np.int32),
+                "windows": f.windows[pick[kept]].astype(np.int32), "anchor": _name(f.anchor[pick[kept]], buckets), "words": pd.Series(words, dtype=object), "copies": None,
             })
+            gone = np.flatnonzero(copy)
+            at = np.flatnonzero(np.diff(f.doc[pick[gone]], prepend=-1)).tolist()
+            pairs = np.column_stack((start[gone], f.windows[pick[gone]])).astype(np.int32)
+            one, two = doc_id[gone][at], content[gone][at]
+            yield pd.DataFrame({
+                "f1": mix((one ^ two).view(np.uint64)).view(np.int64), "f2": np.zeros(len(at), np.int64), "doc_id": one, "content": two, "start": np.zeros(len(at), np.int32),
+                "windows": np.zeros(len(at), np.int32), "anchor": np.zeros(len(at), np.int64), "words": None,
+                "copies": pd.Series([pairs[x:y].tobytes() for x, y in zip(at, [*at[1:], len(gone)])], dtype=object),
+            }, columns=_CUT)
 
     return run
 
 
-ROUTED = "shard int, doc_id long, content long, start int, windows int, skip int, words string"
+@F.pandas_udf(T.BinaryType())
+def _pack(texts: pd.Series) -> pd.Series:
+    """Texts as they are shuffled, at less than half their size."""
+    c = zstandard.ZstdCompressor(level=1)
+    return pd.Series([None if t is None else c.compress(_encode(t)) for t in texts], dtype=object)
+
+
+def _unpack(packed: bytes | None) -> str:
+    return zstandard.decompress(packed).decode("utf-8", "surrogatepass") if packed is not None else ""
+
+
+ROUTED = "shard int, doc_id long, content long, start int, skip int, words string, copies binary"
 _ROUTED = [c.split()[0] for c in ROUTED.split(", ")]
 
 
 def _route(shards: int, hot: np.ndarray | None):
-    """Rows sorted by fragment and place: each first place goes to a shard with its words, copies to a negative one without.
+    """Rows sorted by fragment and place: each first place goes to a shard with its words, copies to negative ones.
 
     Rows of one doc_id that have the fragment at the same first place are first places each. Fragments of hot
     anchors go window by window, by the windows' hashes. hot None: a column says which anchors are.
     """
 
     def run(batches):
-        rep = None  # the last fragment's number, first place, text hash and words
+        rep = None  # the last fragment's number, first place and text hash
         for pdf in batches:
+            whole = pdf["copies"].notna().to_numpy()
+            doc_id, content = pdf["doc_id"].to_numpy(np.int64), pdf["content"].to_numpy(np.int64)
+            to = (-1 - (mix((doc_id ^ content).view(np.uint64)) % np.uint64(shards)).astype(np.int64)).astype(np.int32)
+            done = pdf[whole].assign(shard=to[whole], skip=np.int32(0))
+            yield done[_ROUTED]
+            pdf, to, doc_id, content = pdf[~whole], to[~whole], doc_id[~whole], content[~whole]
             if not len(pdf):
                 continue
-            f1, f2, doc_id, content, start, windows = (pdf[c].to_numpy(np.int64) for c in ("f1", "f2", "doc_id", "content", "start", "windows"))
-            is_hot = np.isin(pdf["anchor"].to_numpy(np.int64), hot) if hot is not None else pdf["hot"].to_numpy(bool)
-            words, anchor = pdf["words"].tolist(), pdf["anchor"].to_numpy(np.int64)
-            copies = np.zeros(len(pdf), bool)
+            f1, f2, start, windows, anchor = (pdf[c].to_numpy(np.int64) for c in ("f1", "f2", "start", "windows", "anchor"))
+            is_hot = np.isin(anchor, hot) if hot is not None else pdf["hot"].to_numpy(bool)
+            words = pdf["words"].to_numpy(object)
+            new = np.concatenate(([rep is None or (int(f1[0]), int(f2[0])) != rep[0]], (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))  # -1: the batch before has it
+            first_doc, first_start = (np.where(first < 0, 0 if rep is None else rep[1][k], v[first]) for k, v in enumerate((doc_id, start)))
+            copies = (doc_id != first_doc) | (start != first_start)
+            shard = (mix(anchor.view(np.uint64)) % np.uint64(shards)).tolist()
             rows: list[tuple] = []
-            number = list(zip(f1.tolist(), f2.tolist()))
-            for i, (n, d, c, at) in enumerate(zip(number, doc_id.tolist(), content.tolist(), start.tolist())):
-                if rep is None or n != rep[0]:
-                    rep = (n, (d, at), c, words[i])
-                elif (d, at) != rep[1]:
-                    copies[i] = True
-                    continue
-                elif c == rep[2]:
+            for i in np.flatnonzero(~copies).tolist():
+                d, c, at = int(doc_id[i]), int(content[i]), int(start[i])
+                if not new[i] and c == rep[2]:
                     continue  # an equal row
-                else:
-                    rep = (n, rep[1], c, rep[3])
+                rep = ((int(f1[i]), int(f2[i])), (d, at), c)
                 if not is_hot[i]:
-                    rows.append((int(mix(anchor[i : i + 1].view(np.uint64))[0] % np.uint64(shards)), d, c, at, int(windows[i]), 0, rep[3]))
+                    rows.append((shard[i], d, c, at, 0, words[i], None))
                     continue
-                raw = _encode(rep[3])
+                raw = _encode(words[i])
                 parts = raw.split()
-                to = (grams(word_hashes(raw), WINDOW) % np.uint64(shards)).tolist()
-                rows += [(to[j], d, c, at, 1, j, b" ".join(parts[j : j + WINDOW]).decode("utf-8", "surrogatepass")) for j in range(int(windows[i]))]
-            kinds = {"shard": "int32", "start": "int32", "windows": "int32", "skip": "int32", "doc_id": "int64", "content": "int64"}
-            yield pd.DataFrame(rows, columns=_ROUTED).astype(kinds)
-            at = np.flatnonzero(copies)
-            yield pd.DataFrame({
-                "shard": (-1 - (mix((doc_id[at] ^ content[at]).view(np.uint64)) % np.uint64(shards)).astype(np.int64)).astype(np.int32), "doc_id": doc_id[at], "content": content[at],
-                "start": start[at].astype(np.int32), "windows": windows[at].astype(np.int32), "skip": np.zeros(len(at), np.int32), "words": pd.Series([None] * len(at), dtype=object),
-            })
+                goes = (grams(word_hashes(raw), WINDOW) % np.uint64(shards)).tolist()
+                rows += [(goes[j], d, c, at, j, b" ".join(parts[j : j + WINDOW]).decode("utf-8", "surrogatepass"), None) for j in range(int(windows[i]))]
+            i = np.flatnonzero(copies)
+            pairs = np.column_stack((start[i], windows[i])).astype(np.int32)
+            rows += [(s, d, c, 0, 0, None, p.tobytes()) for s, d, c, p in zip(to[i].tolist(), doc_id[i].tolist(), content[i].tolist(), pairs)]
+            yield pd.DataFrame(rows, columns=_ROUTED).astype({"shard": "int32", "start": "int32", "skip": "int32", "doc_id": "int64", "content": "int64"})
 
     return run
 
@@ -315,7 +359,8 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """Where the removed windows begin: all of a copy's, and those of a first place that the shard has earlier."""
     start = (pdf["start"] + pdf["skip"]).to_numpy(np.int64)
     if pdf["shard"].iloc[0] < 0:
-        doc_id, content, n = (pdf[c].to_numpy(np.int64) for c in ("doc_id", "content", "windows"))
+        start, n = np.frombuffer(b"".join(pdf["copies"]), np.int32).astype(np.int64).reshape(-1, 2).T
+        doc_id, content = (np.repeat(pdf[c].to_numpy(np.int64), pdf["copies"].str.len().to_numpy(np.int64) // 8) for c in ("doc_id", "content"))
         by = np.lexsort((content, doc_id))
         doc_id, content, n, start = doc_id[by], content[by], n[by], start[by]
         before = np.cumsum(n) - n
@@ -351,16 +396,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions, total // (BUCKET * 50) + 1)  # a place for each 50 bytes, about
     dealt = docs.mapInPandas(_places(buckets), PLACES)
-    found = checkpointed(dealt.groupBy("bucket").applyInPandas(_recurring, WANTED))
-    places, hot = found.where("places is not null"), found.where("hot is not null").select("hot").distinct()
-    shards = max(1, -(-(places.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // 4 * (WINDOW + 8) // SHARD_WORDS))
-    wanted = places.groupBy("doc_id", "content").agg(F.collect_list("places").alias("places"))
-    cut = docs.join(wanted, ["doc_id", "content"]).select("doc_id", "content", "text", "places").mapInPandas(_cut(buckets), CUT)
+    found = checkpointed(dealt.groupBy("bucket").applyInPandas(_recurring(buckets), FOUND))
+    places, hot = found.where("place is not null"), found.where("hot is not null").select("hot").distinct()
+    shards = max(1, -(-(places.agg(F.sum(F.octet_length("place"))).first()[0] or 0) // 4 * (WINDOW + 8) // SHARD_WORDS))
+    wanted = places.groupBy("dest").applyInPandas(_wanted, "doc_id long, content long, places binary")
+    packed = docs.select("doc_id", "content", _pack("text").alias("packed"))
+    cut = packed.join(wanted, ["doc_id", "content"]).select("doc_id", "content", "packed", "places").mapInPandas(_cut(buckets), CUT)
     few = hot.limit(HOT_SENT + 1).toPandas()["hot"].to_numpy(np.int64)
     if len(few) > HOT_SENT:
         few, cut = None, cut.join(hot.select(F.col("hot").alias("anchor"), F.lit(True).alias("hot")), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    place = ["f1", "f2", "doc_id", "start", F.col("words").isNull(), "content"]
-    routed = cut.repartition(partitions, "f1", "f2").sortWithinPartitions(*place).mapInPandas(_route(shards, few), ROUTED)
+    routed = cut.repartition(partitions, "f1", "f2").sortWithinPartitions("f1", "f2", "doc_id", "start", "content").mapInPandas(_route(shards, few), ROUTED)
     begins = routed.groupBy("shard").applyInPandas(_shard, BEGINS)
     parts = begins.groupBy("doc_id", "content").agg(F.collect_list("begins").alias("parts"))
     return checkpointed(parts.mapInPandas(_merge, "doc_id long, content long, spans array<int>"))
@@ -375,13 +420,13 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     docs = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     spans = repeated_spans(docs)
     release(docs)
-    both = docs.join(spans, ["doc_id", "content"], "left")
+    both = docs.select("doc_id", "content", _pack("text").alias("packed")).join(spans, ["doc_id", "content"], "left")
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for doc_id, text, gone in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-                words = _encode(text).split()
+            for doc_id, packed, gone in zip(pdf["doc_id"], pdf["packed"], pdf["spans"]):
+                words = _encode(_unpack(packed)).split()
                 kept, at, removed = [], 0, 0
                 for a, b in zip(gone[0::2], gone[1::2]) if gone is not None else ():
                     kept += words[at:a]
@@ -394,7 +439,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return both.select("doc_id", "text", "spans").mapInPandas(run, OUT + ", text string" * keep_text)
+    return both.select("doc_id", "packed", "spans").mapInPandas(run, OUT + ", text string" * keep_text)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
