@@ -12,7 +12,7 @@ window in the corpus.
 
 Anchors with more than HOT fragments are split further: their fragments go window by window, each to the
 shard of its own hash, so a passage that many documents share in different surroundings fills no shard.
-Only anchors and fragment numbers are 64 and 128-bit hashes; what is compared in a shard are the words.
+A fragment is known by a 64-bit hash of its words and by its anchor; what is compared in a shard are the words.
 
 Defined cases: null text has no words; fewer than WINDOW words have no window; a null doc_id comes before
 all others; rows with equal doc_id are the same place at the same start, so neither is earlier there, and are
@@ -159,7 +159,7 @@ def _places(buckets: int):
     return run
 
 
-FOUND = "dest int, doc_id binary, content binary, place binary, hot long"
+FOUND = "dest int, places long, doc_id binary, content binary, place binary, hot long"
 
 
 def _recurring(buckets: int):
@@ -180,17 +180,17 @@ def _recurring(buckets: int):
         by = np.lexsort((place, content, doc_id, dest))
         doc_id, content, place, dest = doc_id[by], content[by], place[by], dest[by]
         first = np.flatnonzero(np.concatenate(([True], dest[1:] != dest[:-1]))[: len(dest)]).tolist()
-        rows = [(int(dest[x]), doc_id[x:y].tobytes(), content[x:y].tobytes(), place[x:y].tobytes(), None) for x, y in zip(first, [*first[1:], len(dest)])]
-        rows += [(None, None, None, None, h) for h in hot.tolist()]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"dest": "Int32", "hot": "Int64"})
+        pack = zstandard.ZstdCompressor(level=1).compress  # sorted ids take little
+        rows = [(int(dest[x]), y - x, *(pack(v[x:y].tobytes()) for v in (doc_id, content, place)), None) for x, y in zip(first, [*first[1:], len(dest)])]
+        rows += [(None, None, None, None, None, h) for h in hot.tolist()]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"dest": "Int32", "places": "Int64", "hot": "Int64"})
 
     return run
 
 
 def _wanted(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of the documents of one number: the places of each."""
-    doc_id, content = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("doc_id", "content"))
-    place = np.frombuffer(b"".join(pdf["place"]), np.int32)
+    doc_id, content, place = (np.frombuffer(b"".join(map(zstandard.decompress, pdf[c])), kind) for c, kind in (("doc_id", np.int64), ("content", np.int64), ("place", np.int32)))
     by = np.lexsort((place, content, doc_id))
     doc_id, content, place = doc_id[by], content[by], place[by]
     first = np.flatnonzero(np.concatenate(([True], (doc_id[1:] != doc_id[:-1]) | (content[1:] != content[:-1])))[: len(by)])
@@ -198,21 +198,21 @@ def _wanted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc_id[first], "content": content[first], "places": pd.Series(places, dtype=object)})
 
 
-#: Odd multipliers of the two halves of a fragment's number, and their inverses modulo 2^64.
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: The odd multiplier of a fragment's number; its inverse modulo 2^64 takes a prefix off.
+_BASE = 0x9E3779B97F4A7C15
 
 
-def _numbers(h: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+def _numbers(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of h[a:b] for arrays a and b, from prefix sums of a polynomial."""
     n = len(h)
     one = np.ones(1, np.uint64)
-    power = np.cumprod(np.concatenate((one, np.full(n, base, np.uint64))), dtype=np.uint64)
-    back = np.cumprod(np.concatenate((one, np.full(n, pow(base, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+    power = np.cumprod(np.concatenate((one, np.full(n, _BASE, np.uint64))), dtype=np.uint64)
+    back = np.cumprod(np.concatenate((one, np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))), dtype=np.uint64)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:n])))
     return mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
 
 
-CUT = "f1 long, f2 long, doc_id long, content long, start int, windows int, anchor long, words string, copies binary"
+CUT = "number long, doc_id long, content long, start int, windows int, anchor long, words string, copies binary"
 _CUT = [c.split()[0] for c in CUT.split(", ")]
 
 
@@ -230,13 +230,13 @@ def _cut(buckets: int):
             asked = [i * wide + p[p < wide] for i, parts in enumerate(pdf["places"]) for p in (np.frombuffer(parts, np.int32).astype(np.int64),)]
             pick = np.flatnonzero(np.isin(f.doc * wide + f.place, np.concatenate(asked) if asked else []))
             a, b = f.word[pick], f.word[pick] + f.windows[pick] + WINDOW - 1
-            f1, f2 = _numbers(f.h, a, b, _BASES[0]).view(np.int64), _numbers(mix(f.h), a, b, _BASES[1]).view(np.int64)
+            number, anchor = _numbers(f.h, a, b).view(np.int64), _name(f.anchor[pick], buckets)
             doc_id, content, start = pdf["doc_id"].to_numpy(np.int64)[f.doc[pick]], pdf["content"].to_numpy(np.int64)[f.doc[pick]], f.start[pick]
             copy = np.zeros(len(pick), bool)
-            for i, (number, place) in enumerate(zip(zip(f1.tolist(), f2.tolist()), zip(doc_id.tolist(), start.tolist()))):
-                old = least.get(number)
+            for i, (name, place) in enumerate(zip(zip(number.tolist(), anchor.tolist()), zip(doc_id.tolist(), start.tolist()))):
+                old = least.get(name)
                 if old is None or place < old:
-                    least[number] = place
+                    least[name] = place
                 elif place > old:
                     copy[i] = True
             if len(least) > SEEN:
@@ -244,15 +244,15 @@ def _cut(buckets: int):
             kept = np.flatnonzero(~copy)
             words = [f.raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(f.begin[a[kept]].tolist(), f.end[b[kept] - 1].tolist())]
             yield pd.DataFrame({
-                "f1": f1[kept], "f2": f2[kept], "doc_id": doc_id[kept], "content": content[kept], "start": start[kept].astype(np.int32),
-                "windows": f.windows[pick[kept]].astype(np.int32), "anchor": _name(f.anchor[pick[kept]], buckets), "words": pd.Series(words, dtype=object), "copies": None,
+                "number": number[kept], "doc_id": doc_id[kept], "content": content[kept], "start": start[kept].astype(np.int32),
+                "windows": f.windows[pick[kept]].astype(np.int32), "anchor": anchor[kept], "words": pd.Series(words, dtype=object), "copies": None,
             })
             gone = np.flatnonzero(copy)
             at = np.flatnonzero(np.diff(f.doc[pick[gone]], prepend=-1)).tolist()
             pairs = np.column_stack((start[gone], f.windows[pick[gone]])).astype(np.int32)
             one, two = doc_id[gone][at], content[gone][at]
             yield pd.DataFrame({
-                "f1": mix((one ^ two).view(np.uint64)).view(np.int64), "f2": np.zeros(len(at), np.int64), "doc_id": one, "content": two, "start": np.zeros(len(at), np.int32),
+                "number": mix((one ^ two).view(np.uint64)).view(np.int64), "doc_id": one, "content": two, "start": np.zeros(len(at), np.int32),
                 "windows": np.zeros(len(at), np.int32), "anchor": np.zeros(len(at), np.int64), "words": None,
                 "copies": pd.Series([pairs[x:y].tobytes() for x, y in zip(at, [*at[1:], len(gone)])], dtype=object),
             }, columns=_CUT)
@@ -293,10 +293,10 @@ def _route(shards: int, hot: np.ndarray | None):
             pdf, to, doc_id, content = pdf[~whole], to[~whole], doc_id[~whole], content[~whole]
             if not len(pdf):
                 continue
-            f1, f2, start, windows, anchor = (pdf[c].to_numpy(np.int64) for c in ("f1", "f2", "start", "windows", "anchor"))
+            number, start, windows, anchor = (pdf[c].to_numpy(np.int64) for c in ("number", "start", "windows", "anchor"))
             is_hot = np.isin(anchor, hot) if hot is not None else pdf["hot"].to_numpy(bool)
             words = pdf["words"].to_numpy(object)
-            new = np.concatenate(([rep is None or (int(f1[0]), int(f2[0])) != rep[0]], (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])))
+            new = np.concatenate(([rep is None or (int(number[0]), int(anchor[0])) != rep[0]], (number[1:] != number[:-1]) | (anchor[1:] != anchor[:-1])))
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))  # -1: the batch before has it
             first_doc, first_start = (np.where(first < 0, 0 if rep is None else rep[1][k], v[first]) for k, v in enumerate((doc_id, start)))
             copies = (doc_id != first_doc) | (start != first_start)
@@ -306,7 +306,7 @@ def _route(shards: int, hot: np.ndarray | None):
                 d, c, at = int(doc_id[i]), int(content[i]), int(start[i])
                 if not new[i] and c == rep[2]:
                     continue  # an equal row
-                rep = ((int(f1[i]), int(f2[i])), (d, at), c)
+                rep = ((int(number[i]), int(anchor[i])), (d, at), c)
                 if not is_hot[i]:
                     rows.append((shard[i], d, c, at, 0, words[i], None))
                     continue
@@ -398,14 +398,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dealt = docs.mapInPandas(_places(buckets), PLACES)
     found = checkpointed(dealt.groupBy("bucket").applyInPandas(_recurring(buckets), FOUND))
     places, hot = found.where("place is not null"), found.where("hot is not null").select("hot").distinct()
-    shards = max(1, -(-(places.agg(F.sum(F.octet_length("place"))).first()[0] or 0) // 4 * (WINDOW + 8) // SHARD_WORDS))
+    shards = max(1, -(-(places.agg(F.sum("places")).first()[0] or 0) * (WINDOW + 8) // SHARD_WORDS))
     wanted = places.groupBy("dest").applyInPandas(_wanted, "doc_id long, content long, places binary")
     packed = docs.select("doc_id", "content", _pack("text").alias("packed"))
     cut = packed.join(wanted, ["doc_id", "content"]).select("doc_id", "content", "packed", "places").mapInPandas(_cut(buckets), CUT)
     few = hot.limit(HOT_SENT + 1).toPandas()["hot"].to_numpy(np.int64)
     if len(few) > HOT_SENT:
         few, cut = None, cut.join(hot.select(F.col("hot").alias("anchor"), F.lit(True).alias("hot")), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    routed = cut.repartition(partitions, "f1", "f2").sortWithinPartitions("f1", "f2", "doc_id", "start", "content").mapInPandas(_route(shards, few), ROUTED)
+    routed = cut.repartition(partitions, "number", "anchor").sortWithinPartitions("number", "anchor", "doc_id", "start", "content").mapInPandas(_route(shards, few), ROUTED)
     begins = routed.groupBy("shard").applyInPandas(_shard, BEGINS)
     parts = begins.groupBy("doc_id", "content").agg(F.collect_list("begins").alias("parts"))
     return checkpointed(parts.mapInPandas(_merge, "doc_id long, content long, spans array<int>"))
