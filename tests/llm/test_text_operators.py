@@ -124,6 +124,26 @@ def test_jaccard(docs, none):
     assert jaccard.similar_groups(none).count() == 0
 
 
+@pytest.mark.parametrize("binary", [False, True])
+def test_connected_components(spark, binary):
+    from lograil.llm.components import connected_components
+
+    rng = random.Random(2)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(150)] + [(5, 5), (7, 6), (7, 6)]
+    rng.shuffle(pairs)
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for a, b in pairs:
+        if a != b and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+    name = (lambda x: x.to_bytes(4, "big")) if binary else (lambda x: x)
+    kind = "binary" if binary else "long"
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"a {kind}, b {kind}").repartition(6)
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    assert {bytes(k) if binary else k: bytes(v) if binary else v for k, v in got.items()} == {name(k): name(v) for k, v in root.items()}
+    assert connected_components(edges.limit(0)).count() == 0
+
+
 def brute_components(texts):
     sets = {i: set(jaccard.document_set(t).tolist()) for i, t in texts.items()}
     root, links = {i: i for i in sets}, 0
