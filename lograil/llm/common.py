@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.folders import checkpointed  # noqa: F401
+
 #: Bytes that separate words: space and \t \n \v \f \r. They never occur inside a UTF-8 sequence.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -36,29 +35,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, so long texts can't fill a Python worker."""
+    """Bounds what one Arrow batch holds, so long texts can't fill a Python worker.
+
+    It holds for the session from then on: Spark reads these settings when a plan runs, which may be at any later time.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of what is no longer referred to."""
+    """Lets Spark delete the shuffle files of what is no longer referred to, which it does when the driver's JVM collects garbage."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            shared = tempfile.mkdtemp(prefix="lograil-checkpoint-")
-            atexit.register(shutil.rmtree, shared, True)
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
-
-
 def words(raw: bytes) -> list[bytes]:
     """bytes.split() splits on exactly the six ASCII blanks."""
     return raw.split()
