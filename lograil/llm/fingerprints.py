@@ -28,7 +28,7 @@ from .common import mix, read, shingle_set, small_batches
 
 BINS, BITS, ATTEMPTS = 512, 4, 64
 #: Rows of a bucket, ids that choose the buckets' edges, and buckets, at most. A bucket is streamed, so its size is no limit of memory.
-BUCKET_ROWS, EDGE_IDS, BUCKETS = 4000, 200_000, 20_000
+BUCKET_ROWS, EDGE_IDS, BUCKETS = 4000, 50_000, 20_000
 _PROBES = (mix(np.arange(BINS * ATTEMPTS, dtype=np.uint64) + np.uint64(0x51ED270B)) % np.uint64(BINS)).astype(np.int64).reshape(ATTEMPTS, BINS)
 _OWN = mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
