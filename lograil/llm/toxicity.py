@@ -152,11 +152,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def numbered(batches):
         for pdf in batches:
-            own = [sorted(index[f] for f in features(t).intersection(index.keys())) for t in pdf["text"]]
+            own = [np.array(sorted(index[f] for f in features(t).intersection(index.keys())), np.int32).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "half": pdf["half"], "own": own})
 
-    data = texts.mapInPandas(numbered, "doc_id long, y int, half int, own array<int>").toPandas().sort_values("doc_id")
-    rows, y, half = [np.asarray(x, np.int64) for x in data["own"]], np.clip(data["y"].to_numpy(np.int64), 0, GRADES - 1), data["half"].to_numpy()
+    data = texts.mapInPandas(numbered, "doc_id long, y int, half int, own binary").toPandas().sort_values("doc_id")
+    rows, y, half = [np.frombuffer(x, np.int32) for x in data["own"]], np.clip(data["y"].to_numpy(np.int64), 0, GRADES - 1), data["half"].to_numpy()
     toxic = y > 0
     if not graded:  # half the rows give half the evidence
         typical = [(c1[h] * n0[h] > c0[h] * n1[h]) & (gain(c1[h], c0[h], n1[h], n0[h]) > EVIDENCE / 2) for h in (0, 1)]
