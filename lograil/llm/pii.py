@@ -221,13 +221,13 @@ class Model:
         return bool(len(self.weights)) and float(self.weights[span_features(text, start, end, pattern)].sum()) >= 0
 
 
-def fit(patterns: dict[str, int], spans: list[tuple[str, list[int]]], steps: int = 300) -> Model:
+def fit(patterns: dict[str, int], spans: list[tuple[str, np.ndarray]], steps: int = 300) -> Model:
     """patterns: how often each occurs; spans: patterns and features of the sample."""
     if not patterns or not spans:
         return Model()
     truth, reliability = estimate(patterns)
     at = np.repeat(np.arange(len(spans)), [len(f) for _, f in spans])
-    ix = np.concatenate([np.asarray(f, np.int64) for _, f in spans])
+    ix = np.concatenate([f for _, f in spans])
     y, w, seen = np.array([truth[p] for p, _ in spans]), np.zeros(FEATURES), np.zeros(FEATURES)
     for _ in range(steps):  # AdaGrad on the whole sample
         q = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[ix], minlength=len(y)), -30, 30)))
@@ -271,12 +271,12 @@ def train(docs: DataFrame) -> Model:
                 for a, b, k, p in candidates(text)[1]:
                     key = zlib.crc32(text[max(0, a - AROUND) : b + AROUND].encode("utf-8", "surrogatepass"))
                     if key < share[k]:
-                        rows.append((key, p, span_features(text, a, b, p)))
+                        rows.append((key, p, np.array(span_features(text, a, b, p), np.int32).tobytes()))
             yield pd.DataFrame(rows, columns=["key", "pattern", "features"]).astype({"key": "int64"})
 
     # Equal spans in equal surroundings count once, so a third of all rows may be copies.
-    spans = docs.mapInPandas(sample, "key long, pattern string, features array<int>").distinct().orderBy("key", "pattern", "features") if share else None
-    return fit(patterns, [(r.pattern, r.features) for r in spans.limit(2 * TRAIN_SPANS * len(KINDS)).collect()] if share else [])
+    spans = docs.mapInPandas(sample, "key long, pattern string, features binary").distinct().orderBy("key", "pattern", "features") if share else None
+    return fit(patterns, [(r.pattern, np.frombuffer(r.features, np.int32)) for r in spans.limit(2 * TRAIN_SPANS * len(KINDS)).collect()] if share else [])
 
 
 def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
