@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lograil.llm import chat, fingerprints, jaccard, language, mixing, pii, substrings, toxicity
+from lograil.llm import chat, common, fingerprints, jaccard, language, mixing, pii, substrings, toxicity
 from lograil.llm.fm_index import FMIndex
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n string, spans string, component_id string, key string"
@@ -144,6 +144,22 @@ def test_connected_components(spark, binary):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_release_what_each_round_leaves(spark, monkeypatch):
+    from lograil.llm import components
+
+    did = []
+    for name in ("checkpointed", "release"):
+        monkeypatch.setattr(components, name, lambda df, name=name, f=getattr(common, name): did.append(name) or f(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that no partition has all edges
+    try:
+        assert {r.root for r in components.connected_components(edges).collect()} == {0}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rounds = did.count("checkpointed") - 1
+    assert rounds > 2 and did == ["checkpointed", *["checkpointed", "release"] * (rounds - 1), "checkpointed"]
+
+
 def brute_components(texts):
     sets = {i: set(jaccard.document_set(t).tolist()) for i, t in texts.items()}
     root, links = {i: i for i in sets}, 0
