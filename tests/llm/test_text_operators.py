@@ -193,6 +193,28 @@ def test_jaccard_of_a_large_group(spark, monkeypatch, small, block, heavy):
     assert {r.doc_id: r.component_id for r in got} == want and links > 100 and len(set(want.values())) > 40
 
 
+def test_jaccard_links_come_from_tasks_by_bytes(spark, monkeypatch):
+    # Near copies of one text, each with a word of its own, all under large shingles; few bytes need few tasks.
+    words, tasks = [f"w{i}" for i in range(60)], []
+    texts = [(k, " ".join([*words[:k], f"own{k}", *words[k + 1 :]])) for k in range(40)]
+
+    def seen(df, f=jaccard.checkpointed):
+        out = f(df)
+        if out.columns == ["a", "b"]:
+            tasks.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(jaccard, "checkpointed", seen)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_components(dict(texts))[0]
+    assert tasks and max(tasks) < 50
+
+
 def test_jaccard_recall_on_a_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text for r in table.collect()}
