@@ -620,3 +620,7 @@ def test_pipeline(spark, sf_dir):
         docs = cp.checkpointed(docs)
         assert docs.count() > 0
     assert cp.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_release_gives_freed_memory_of_the_c_library_back(spark):
+    assert common.trim_native_heap(spark.sparkContext)
