@@ -624,3 +624,14 @@ def test_pipeline(spark, sf_dir):
 
 def test_release_gives_freed_memory_of_the_c_library_back(spark):
     assert common.trim_native_heap(spark.sparkContext)
+
+
+def test_near_duplicates_release_what_components_leave(spark, monkeypatch):
+    did = []
+    for name in ("checkpointed", "release", "connected_components"):
+        monkeypatch.setattr(jaccard, name, lambda df, name=name, f=getattr(jaccard, name): did.append(name) or f(df))
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{text} x{i}") for i in range(5)], "doc_id long, text string")
+    assert jaccard.drop_near_duplicates(docs).count() == 1
+    assert did.count("connected_components") >= 2
+    assert all(after == "release" for name, after in zip(did, did[1:]) if name == "connected_components")
